@@ -1,0 +1,47 @@
+"""Side-by-side run of the registered queries and their SQL."""
+
+from __future__ import annotations
+
+import math
+import pathlib
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        path = pathlib.Path(sf_dir) / f"{name}.parquet"
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+    return con
+
+
+def _cell(value):
+    if isinstance(value, float):
+        return "NaN" if math.isnan(value) else repr(round(value, 9))
+    return repr(value)
+
+
+def rows_of(columns: list[str], rows) -> list[tuple]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
+
+
+def difference(df, con, sql: str) -> str | None:
+    """None if both give the same rows, else what differs."""
+    result = con.execute(sql)
+    names = [d[0] for d in result.description]
+    want = rows_of(names, result.fetchall())
+    if sorted(names) != sorted(df.columns):
+        return f"columns {sorted(df.columns)} instead of {sorted(names)}"
+    got = rows_of(df.columns, df.collect())
+    if got == want:
+        return None
+    extra = [r for r in got if r not in set(want)][:2]
+    lacking = [r for r in want if r not in set(got)][:2]
+    return f"{len(got)} rows instead of {len(want)}; extra {extra}; lacking {lacking}"[:1500]
