@@ -39,6 +39,7 @@ def salted_join(
     right_counts: DataFrame | None = None,
     cell_rows: int = CELL_ROWS,
     spread: bool = False,
+    none_hot: bool = False,
 ) -> DataFrame:
     """Inner equi-join of ``left`` and ``right`` on the columns ``on``.
 
@@ -51,8 +52,11 @@ def salted_join(
     already known can be passed in to spare the pass for them. ``spread`` is for
     joins that yield far more rows than they read: it uses all shuffle partitions,
     where adaptive execution would merge them by the small size of the input.
+    ``none_hot`` says that the caller knows no key to be hot, and leaves a plain join.
     """
     on = list(on)
+    if none_hot:
+        return _joined(left, right, on, spread)
     lc = left_counts if left_counts is not None else key_counts(left, on)
     rc = right_counts if right_counts is not None else key_counts(right, on)
     hot = (
@@ -78,8 +82,11 @@ def salted_join(
 
     a = place(left, left_row, "_lp", "_rp", ("_gl", "_gr"))
     b = place(right, right_row, "_rp", "_lp", ("_gr", "_gl"))
-    cell = [*on, "_gl", "_gr"]
+    return _joined(a, b, [*on, "_gl", "_gr"], spread).drop("_gl", "_gr")
+
+
+def _joined(a: DataFrame, b: DataFrame, on: list[str], spread: bool) -> DataFrame:
     if spread:
-        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        a, b = a.repartition(parts, *cell), b.repartition(parts, *cell)
-    return a.join(b, cell).drop("_gl", "_gr")
+        parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        a, b = a.repartition(parts, *on), b.repartition(parts, *on)
+    return a.join(b, on)
