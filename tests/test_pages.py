@@ -1,0 +1,106 @@
+"""Result pages: missing keys, error pages, names, completeness."""
+
+import json
+
+import pytest
+
+from matchloom.operators.pages import (
+    PageError,
+    flatten_episodes,
+    flatten_shows,
+    good_pages,
+    joined_id,
+    page_completeness,
+    rejected_pages,
+    require_pages,
+)
+from matchloom.plans.podcast import pages_to_csv, podcast_mentions
+from matchloom.sources.pages import EPISODE_PAGE, SHOW_PAGE, read_pages
+
+SHOWS = [
+    {"shows": {"items": [
+        {"id": "s2", "name": "Cast", "description": "d", "total_episodes": 3},
+        {"id": "s1", "name": "Cast", "total_episodes": 1},
+        {"id": "s3", "name": "Caste", "description": "é"},
+    ]}}
+]
+EPISODES = [
+    {"feed": "s1", "offset": 0, "total": 2, "items": [
+        {"id": "e1", "description": "fala do Grupo X", "duration_ms": 5, "release_date": "2024-01-01"},
+        {"id": "e2", "duration_ms": 6},
+    ]},
+    {"feed": "s3", "offset": 0, "total": 1, "items": [{"id": "e3", "description": "Grupo X"}]},
+    {"feed": "s2", "offset": 0, "total": 0, "items": []},
+]
+ERROR = {"error": {"status": 429, "message": "too many"}, "feed": "s1"}
+
+
+def _pages(spark, tmp_path, name, pages, schema):
+    path = tmp_path / name
+    path.write_text("\n".join(json.dumps(p) for p in pages))
+    return read_pages(spark, str(path), schema)
+
+
+def test_flatten(spark, tmp_path):
+    shows = flatten_shows(_pages(spark, tmp_path, "s.json", SHOWS, SHOW_PAGE))
+    assert sorted(map(tuple, shows.collect()), key=lambda r: r[0]) == [
+        ("s1", "Cast", None, 1), ("s2", "Cast", "d", 3), ("s3", "Caste", "é", None),
+    ]
+    episodes = flatten_episodes(_pages(spark, tmp_path, "e.json", EPISODES, EPISODE_PAGE))
+    assert episodes.columns == [
+        "episode_id", "episode_description", "episode_duration", "episode_release_date",
+    ]
+    assert sorted(r[0] for r in episodes.collect()) == ["e1", "e2", "e3"]
+    assert joined_id(shows, "Cast") == "s1s2"
+    assert joined_id(shows, "Nobody") == ""
+
+
+def test_error_pages(spark, tmp_path):
+    pages = _pages(spark, tmp_path, "e.json", [*EPISODES, ERROR], EPISODE_PAGE)
+    assert good_pages(pages).count() == 3
+    assert [r.error.message for r in rejected_pages(pages).collect()] == ["too many"]
+    with pytest.raises(PageError, match="too many"):
+        require_pages(pages)
+    with pytest.raises(PageError, match="no page"):
+        require_pages(pages.limit(0))
+
+
+def test_completeness(spark, tmp_path):
+    def feed(name, total, pages):
+        return [{"feed": name, "total": total, "items": [{"id": str(i)} for i in range(n)]} for n in pages]
+
+    pages = _pages(
+        spark, tmp_path, "e.json",
+        feed("even", 100, [50, 50, 0]) + feed("odd", 60, [50]) + feed("big", 5000, [50] * 40),
+        EPISODE_PAGE,
+    )
+    got = {r.feed: tuple(r)[1:] for r in page_completeness(pages).collect()}
+    assert got == {
+        "even": (100, 100, 3, 3, True, True),
+        "odd": (60, 50, 1, 2, False, False),
+        "big": (5000, 2000, 40, 40, False, True),
+    }
+
+
+def test_podcast_job(spark, tmp_path):
+    result = podcast_mentions(
+        _pages(spark, tmp_path, "s.json", SHOWS, SHOW_PAGE),
+        _pages(spark, tmp_path, "e.json", [*EPISODES, ERROR], EPISODE_PAGE),
+        "Cast",
+        "Grupo X",
+    )
+    assert result.shows.count() == 3
+    assert sorted(r[0] for r in result.episodes.collect()) == ["e1", "e2"]
+    assert [r[0] for r in result.mentions.collect()] == ["e1"]
+
+
+def test_podcast_files(spark, tmp_path):
+    _pages(spark, tmp_path, "s.json", SHOWS, SHOW_PAGE)
+    _pages(spark, tmp_path, "e.json", EPISODES, EPISODE_PAGE)
+    for _ in range(2):
+        pages_to_csv(spark, f"{tmp_path}/s.json", f"{tmp_path}/e.json", f"{tmp_path}/out", "Cast", "Grupo X")
+    counts = {
+        t: spark.read.option("header", True).csv(f"{tmp_path}/out/{t}").count()
+        for t in ("shows", "episodes", "mentions")
+    }
+    assert counts == {"shows": 3, "episodes": 2, "mentions": 1}

@@ -1,0 +1,80 @@
+"""Samples of a share and of an exact size."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from matchloom.functions.draws import hash_choice, hash_hex
+from matchloom.operators.sampling import (
+    EVERY,
+    kth_smallest_hash,
+    limit_by_hash,
+    not_in_draw,
+    sample_exact,
+    sample_hash,
+)
+
+
+def _ids(df):
+    return sorted(r[0] for r in df.select("id").collect())
+
+
+def _lowest(n, k, seed):
+    return sorted(sorted(range(n), key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())[:k])
+
+
+@pytest.mark.parametrize("k", [0, 1, 37, 999, 1000])
+def test_exact_size_and_rows(spark, k):
+    for parts in (1, 7):
+        df = spark.range(1000).repartition(parts)
+        assert _ids(sample_exact(df, "id", k, "s", strict=True)) == _lowest(1000, k, "s")
+
+
+def test_too_few_rows(spark):
+    df = spark.range(10)
+    assert sample_exact(df, "id", 11, "s").count() == 10
+    assert limit_by_hash(df, "id", 50, "s").count() == 10
+    with pytest.raises(ValueError, match="fewer than 11"):
+        sample_exact(df, "id", 11, "s", strict=True)
+
+
+@pytest.mark.parametrize("small", [1, 10])
+def test_the_edge_is_refined_round_by_round(spark, small):
+    """With hashes that share long prefixes, several rounds are needed."""
+    hashes = [f"{'0' * 10}{i:022x}" for i in range(200)] + [f"f{i:031x}" for i in range(50)]
+    df = spark.createDataFrame([(h,) for h in hashes], "h string")
+    want = sorted(hashes)
+    for k in (1, 77, 200, 201, 250):
+        assert kth_smallest_hash(df, k, small=small) == want[k - 1]
+    assert kth_smallest_hash(df, 251, small=small) == EVERY
+
+
+def test_share(spark):
+    df = spark.range(20000)
+    n = sample_hash(df, "id", 0.1, "7").count()
+    assert 1800 < n < 2200
+    assert sample_hash(df, "id", 0.0, "7").count() == 0
+    assert sample_hash(df, "id", 1.0, "7").count() == 20000
+    with pytest.raises(ValueError):
+        sample_hash(df, "id", 1.1, "7")
+
+
+def test_disjoint_draws(spark):
+    df = spark.range(500)
+    first = sample_exact(df, "id", 100, "a")
+    second = sample_exact(not_in_draw(df, first, "id"), "id", 400, "b", strict=True)
+    assert sorted(_ids(first) + _ids(second)) == list(range(500))
+
+
+def test_draws_are_plain_md5(spark):
+    row = spark.range(1).select(
+        hash_hex("s", F.lit(5), F.lit("x")), hash_choice("2", F.lit(9), ["p", "q"])
+    ).first()
+    assert row[0] == hashlib.md5(b"s:5:x").hexdigest()
+    assert row[1] == ["p", "q"][int(hashlib.md5(b"2:9").hexdigest()[:8], 16) % 2]
+
+
+def test_the_sample_is_a_filter(spark):
+    plan = sample_exact(spark.range(100), "id", 10, "s")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
