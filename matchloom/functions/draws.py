@@ -31,8 +31,12 @@ def hash_id(*keys: Column) -> Column:
     return F.conv(digits, 16, 10).cast("bigint")
 
 
+def hash_number(seed: str, *keys: Column) -> Column:
+    """Evenly spread number below 2**32."""
+    return F.conv(F.substring(hash_hex(seed, *keys), 1, 8), 16, 10).cast("bigint")
+
+
 def hash_choice(seed: str, key: Column, options: list[str]) -> Column:
     """One of the options, drawn by the key."""
-    number = F.conv(F.substring(hash_hex(seed, key), 1, 8), 16, 10).cast("bigint")
     choices = F.array(*[F.lit(o) for o in options])
-    return F.element_at(choices, (number % len(options) + 1).cast("int"))
+    return F.element_at(choices, (hash_number(seed, key) % len(options) + 1).cast("int"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from matchloom.functions.draws import hash_hex
+from matchloom.functions.draws import hash_number
 
 # What separates words: every character Python's str.split() splits at. Fixed values.
 BLANKS = (
@@ -33,12 +35,15 @@ def space_count(text: Column) -> Column:
     return F.size(F.split(text, " "))
 
 
+def longest(columns: list[Column]) -> Column:
+    """Number of pieces of the column that has most; 0 if all are null."""
+    counts = [F.coalesce(space_count(c), F.lit(0)) for c in columns]
+    return F.greatest(*counts) if len(counts) > 1 else counts[0]
+
+
 def any_longer_than(columns: list[Column], words: int) -> Column:
     """True where one of the columns has more than ``words`` pieces."""
-    found = F.lit(False)
-    for c in columns:
-        found = found | F.coalesce(space_count(c) > words, F.lit(False))
-    return found
+    return longest(columns) > words
 
 
 def any_not_null(columns: list[Column]) -> Column:
@@ -54,25 +59,30 @@ def mentions(text: Column, phrase: str) -> Column:
     return F.coalesce(text.rlike(WORD_START + phrase), F.lit(False))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def drop_words(text: Column, n: int, seed: str, row_id: Column) -> Column:
-    """Remove ``n`` words drawn by hash and join the rest by one space.
+    """Remove a word drawn by hash, ``n`` times, and join the rest by one space.
 
     Null, blank and too short texts stay as they are; a text of exactly ``n``
-    words becomes empty. The draw depends on the seed, the row and the place of
-    the word only, so a retried task repeats it.
+    words becomes empty. The draw depends on the seed, the row and the number of
+    words only, so a retried task repeats it.
     """
+
+    def without_one(words: Column, turn: int) -> Column:
+        size = F.greatest(F.size(words), F.lit(1))
+        at = (hash_number(seed, row_id, F.lit(turn)) % size).cast("int")
+        return _let(at, lambda i: F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, size)))
+
+    def rest(words: Column, turn: int) -> Column:
+        if turn == n:
+            return F.array_join(words, " ")
+        return _let(without_one(words, turn), lambda left: rest(left, turn + 1))
+
     words = F.filter(F.split(text, BLANKS), lambda w: w != "")
-    drawn = F.array_sort(
-        F.transform(
-            words,
-            lambda w, i: F.struct(hash_hex(seed, row_id, i).alias("h"), i.alias("i"), w.alias("w")),
-        )
-    )
-    kept = F.array_sort(
-        F.transform(
-            F.slice(drawn, F.lit(n + 1), F.greatest(F.size(drawn) - n, F.lit(0))),
-            lambda d: F.struct(d["i"].alias("i"), d["w"].alias("w")),
-        )
+    return _let(
+        words, lambda ws: F.when(F.size(ws) >= max(n, 1), rest(ws, 0)).otherwise(text)
     )
-    shorter = F.array_join(F.transform(kept, lambda d: d["w"]), " ")
-    return F.when(F.size(words) >= max(n, 1), shorter).otherwise(text)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # A key is hot if it holds more than one row in HOT_SHARE. There are at most
 # HOT_SHARE such keys whatever the data, so the list of them can be broadcast.
 HOT_SHARE = 10_000
+_SPREAD = 4  # a spreading join yields much from little: small inputs even out its tasks
 CELL_ROWS = 10_000  # rows of one side of a hot key that one task joins
 
 
@@ -87,6 +88,6 @@ def salted_join(
 
 def _joined(a: DataFrame, b: DataFrame, on: list[str], spread: bool) -> DataFrame:
     if spread:
-        parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = _SPREAD * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         a, b = a.repartition(parts, *on), b.repartition(parts, *on)
     return a.join(b, on)

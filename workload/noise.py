@@ -83,20 +83,28 @@ BLANKS_SQL = (
 
 
 def dropped_sql(source: str, key: str, text: str, n: str, seed: str, prefix: str) -> str:
-    """CTEs ending in ``<prefix>dropped (k, text)``: the texts of ``source`` with n
-    words less. ``n`` and ``seed`` are SQL expressions over ``source``."""
+    """CTEs ending in ``<prefix>dropped (k, text)``: the texts of ``source`` with one
+    or two words less. ``n`` and ``seed`` are SQL expressions over ``source``."""
     p = prefix
+
+    def drawn(turn: int) -> str:
+        digits = f"substr(md5(seed || ':' || k || ':{turn}'), 1, 8)"
+        return f"('0x' || {digits})::BIGINT % greatest(len(ws) - {turn}, 1)"
+
     return rf"""
 {p}split AS (
     SELECT {key} AS k, {text} AS t, {n} AS n, {seed} AS seed,
            list_filter(string_split_regex({text}, '{BLANKS_SQL}'), lambda w: w <> '') AS ws
     FROM {source}
+), {p}drawn AS (
+    SELECT *, {drawn(0)} AS first, {drawn(1)} AS second FROM {p}split
 ), {p}words AS (
-    SELECT k, n, seed, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM {p}split
-), {p}ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY k ORDER BY md5(seed || ':' || k || ':' || i)) AS r FROM {p}words
+    SELECT k, n, first, second + (second >= first)::INT AS second, unnest(ws) AS w,
+           generate_subscripts(ws, 1) - 1 AS i
+    FROM {p}drawn
 ), {p}kept AS (
-    SELECT k, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE r > n), '') AS t FROM {p}ranked GROUP BY k
+    SELECT k, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (WHERE i <> first AND (n = 1 OR i <> second)), '') AS t
+    FROM {p}words GROUP BY k
 ), {p}dropped AS (
     SELECT s.k, CASE WHEN len(s.ws) >= s.n THEN kept.t ELSE s.t END AS text
     FROM {p}split s LEFT JOIN {p}kept kept ON s.k = kept.k
