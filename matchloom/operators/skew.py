@@ -4,30 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot if it holds more than one row in HOT_SHARE. There are at most
 # HOT_SHARE such keys whatever the data, so the list of them can be broadcast.
-HOT_SHARE = 10_000
+HOT_SHARE = 500_000
 _SPREAD = 4  # a spreading join yields much from little: small inputs even out its tasks
 CELL_ROWS = 10_000  # rows of one side of a hot key that one task joins
 
 
-def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, n``: rows per key, summed before the shuffle."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+_KEY = "_key"
 
 
-def hot_keys(
-    counts: DataFrame, keys: Sequence[str], cell_rows: int = CELL_ROWS
-) -> DataFrame:
-    """``keys, parts``: the hot keys of a ``key_counts`` frame and into how many
-    parts of about ``cell_rows`` rows each is to be split."""
+def _key(columns: Sequence[str]) -> Column:
+    # Hot keys are told by their hash, so that what is broadcast is small however
+    # long the keys are. Keys that share a hash are merely split alike.
+    return F.xxhash64(*[F.col(c) for c in columns]).alias(_KEY)
+
+
+def key_counts(df: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """``_key, n``: rows per (hash of a) key, or the sum of a column that says how
+    many rows each one stands for. Summed before the shuffle."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return df.groupBy(_key(keys)).agg(n.alias("n"))
+
+
+def hot_keys(counts: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``_key, parts``: the hot keys of a ``key_counts`` frame and into how many parts
+    of about ``cell_rows`` rows each is to be split. At most HOT_SHARE rows."""
     total = counts.agg(F.sum("n")).scalar()
-    return counts.filter(
-        (F.col("n") > cell_rows) & (F.col("n") * HOT_SHARE > total)
-    ).select(*keys, F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
+    return counts.filter((F.col("n") > cell_rows) & (F.col("n") * HOT_SHARE > total)).select(
+        _KEY, F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")
+    )
 
 
 def salted_join(
@@ -61,11 +70,11 @@ def salted_join(
     lc = left_counts if left_counts is not None else key_counts(left, on)
     rc = right_counts if right_counts is not None else key_counts(right, on)
     hot = (
-        hot_keys(lc, on, cell_rows)
+        hot_keys(lc, cell_rows)
         .withColumnRenamed("parts", "_lp")
-        .join(hot_keys(rc, on, cell_rows).withColumnRenamed("parts", "_rp"), on, "full_outer")
+        .join(hot_keys(rc, cell_rows).withColumnRenamed("parts", "_rp"), _KEY, "full_outer")
         .select(
-            *on,
+            _KEY,
             F.coalesce("_lp", F.lit(1)).alias("_lp"),
             F.coalesce("_rp", F.lit(1)).alias("_rp"),
         )
@@ -75,10 +84,11 @@ def salted_join(
         spread = F.pmod(F.xxhash64(*[F.col(c) for c in row]), F.coalesce(own, F.lit(1)))
         copies = F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)
         return (
-            side.join(F.broadcast(hot), on, "left")
+            side.withColumn(_KEY, _key(on))
+            .join(F.broadcast(hot), _KEY, "left")
             .withColumn(out[0], spread.cast("int"))
             .withColumn(out[1], F.explode(copies))
-            .drop("_lp", "_rp")
+            .drop(_KEY, "_lp", "_rp")
         )
 
     a = place(left, left_row, "_lp", "_rp", ("_gl", "_gr"))
