@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.session import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -26,3 +28,27 @@ def renamed(df: DataFrame, **names: str) -> DataFrame:
 def pieces_of(rows: int, each: int) -> int:
     """Partitions of about ``each`` rows; at least one."""
     return max(1, -(-rows // each))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its row number from 0 in the given order, made without a window over all rows.
+
+    The rows are range-sorted and written once, so that their places are fixed; only the number of
+    rows of each written partition passes the driver.
+    """
+    place = F.monotonically_increasing_id()
+    rows = materialise(df.sort(*order).withColumn("_place", place), "numbered")
+    part = F.shiftright("_place", 33)
+    counts = sorted(rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    starts, before = [], 0
+    for p, n in counts:
+        starts.append((p, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(starts, "_part long, _before long")
+    local = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        rows.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_before") + local)
+        .drop("_part", "_place", "_before")
+    )

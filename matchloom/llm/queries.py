@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import exact
+from matchloom.llm import exact, mixing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,39 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Schedules with the means 3, 1 and 2 that the sources weigh: the first kind fades, the last comes up.
+CURRICULUM = [[(0.0, 4.0), (1.0, 2.0)], [(0.0, 1.0), (1.0, 1.0)], [(0.0, 1.0), (1.0, 3.0)]]
+
+
+def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), CURRICULUM, share=1.5, max_epochs=2.0)
+    return mixed.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "positions"
+    )
+
+
 QUERIES = {
+    "op1_seekable_warc": op1_seekable_warc,
+    "op2_curriculum_mix": op2_curriculum_mix,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE = {
+    "op1_seekable_warc": """
+        WITH payloads AS (
+            SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS bytes FROM pages
+        ), marked AS (
+            SELECT *, CASE WHEN bytes >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS first FROM payloads
+        )
+        SELECT page_id, bytes::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM marked""",
     "op10_exact_dedup": r"""
         WITH texts AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,
