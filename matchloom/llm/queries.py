@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import exact, mixing, warc
+from matchloom.llm import exact, mixing, packing, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +35,25 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SEQUENCE = packing.Limits(tokens=4096, segments=4096, loss_tokens=4096)
+END_ID = 2
+
+
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.pack(tokens.tokenized(_table(spark, sf_dir, "documents"), path, END_ID), SEQUENCE)
+    return pieces.select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )
+
+
 QUERIES = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_curriculum_mix": op2_curriculum_mix,
+    "op4_vector_packing": op4_vector_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
