@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import exact, mixing, packing, tokens, warc
+from matchloom.llm import exact, mixing, packing, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +50,29 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOXIC = 0.7
+
+
+def toxicity_model(documents: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    texts = documents.select(F.col("doc_id").alias("id"), "text")
+    return toxicity.train(texts, labels, ~toxicity.held_out(F.col("id")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity_model(documents, spark, sf_dir))
+    return scored.select(
+        F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_curriculum_mix": op2_curriculum_mix,
     "op4_vector_packing": op4_vector_packing,
+    "op5_toxicity": op5_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
