@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import exact, mixing, packing, tokens, toxicity, warc
+from matchloom.llm import exact, mixing, packing, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +68,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHINGLE, RADIUS = 3, 3
+
+
+def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(_table(spark, sf_dir, "documents"), SHINGLE, RADIUS)
+    return groups.select(
+        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 QUERIES = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_curriculum_mix": op2_curriculum_mix,
     "op4_vector_packing": op4_vector_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_simhash_bktree": op6_simhash_bktree,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
