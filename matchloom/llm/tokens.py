@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from matchloom.llm.common import renamed
 
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 400_000
 TOKENS_SCHEMA = "id long, ids binary, tokens long"
 # Up to here every letter is composed and has one lower-case form, whatever stands beside it.
 _PLAIN = "ɐ"
@@ -37,17 +38,19 @@ class WordIds(dict):
         self._tokenizer, self._model, self._letters = tokenizer, tokenizer.model, _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        core = word.rstrip(".,") if word else word
-        if core and core.isalpha() and max(core) < _PLAIN and "İ" not in core:
-            spelt = core.lower().encode().decode("latin-1").translate(self._letters)
+        core = word.rstrip(".,")
+        if core and len(core) < len(word):
+            return self[core] + self[word[len(core) :]]
+        if not core.isalpha() or not (core.isascii() or (max(core) < _PLAIN and "İ" not in core)):
+            made = self._whole(word)
+        elif (lower := core.lower()) != core:
+            return self[lower]
+        else:
+            spelt = core if core.isascii() else core.encode().decode("latin-1").translate(self._letters)
             ids = [t.id for t in self._model.tokenize(spelt)]
             made = struct.pack(f"<{len(ids)}I", *ids)
-            if len(core) < len(word):
-                made += self._whole(word[len(core) :])
-        else:
-            made = self._whole(word)
+        if len(self) >= CACHED_WORDS:
+            self.clear()
         self[word] = made
         return made
 
@@ -60,7 +63,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, spaced.split(" ")))
 
 
+@lru_cache(maxsize=1)
 def word_tokenizer(file_text: str) -> WordIds:
+    """Kept by the worker process, so that its later tasks find the tokenizer loaded and its words known."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(file_text)
