@@ -1,8 +1,8 @@
 """Toxicity by a linear classifier over character n-grams.
 
 A feature is the presence of an n-gram (by hash) in the lower-cased text, scaled by its naive Bayes
-log-count ratio: how much more often toxic texts hold it than others, smoothed. The counts behind
-the ratios cover all labelled texts; the weights are fitted on a bounded sample of them.
+log-count ratio: how much more often toxic texts hold it than others, smoothed. The model is fitted on
+a bounded sample of the labelled texts; every text is scored.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import renamed
+from matchloom.session import materialise
 
 ORDERS = (3, 4, 5, 6, 7)
 BITS = 21
 SMOOTHING = 0.5
 LEAST_Z = 3.0  # a ratio counts if it is that many standard errors away from none
 FEATURES = 16384  # of those, at most so many, the surest first
-SAMPLE_ROWS = 20_000  # labelled rows the weights are fitted on, at most
+SAMPLE_ROWS = 24_000  # labelled rows the model is fitted on, at most
 STEPS, RATE, RIDGE = 60, 0.05, 1e-4
 _CHARS = 1 << 20  # characters handled at once; a longer text is read in overlapping parts
 
@@ -113,18 +114,22 @@ def _fit(held: list[np.ndarray], ratios: np.ndarray, labels: np.ndarray) -> tupl
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from the rows of ``docs`` (id, text) whose id is in ``labels`` (id, label 0 or 1) and for
-    which ``may_learn`` holds. A null label is no label; an id with several labels has their rounded
-    mean. Counts and ratios are of all those rows. The driver receives at most FEATURES of them
-    and, of at most ``sample_rows`` labelled rows (the least by hash of id), which features they hold.
-    Without rows of both kinds there are no features and every score is the share of toxic rows."""
+    which ``may_learn`` holds: those of the ``sample_rows`` labelled ids that come first by a hash, or all
+    if there are fewer. A null label is no label; an id with several labels has their rounded mean.
+
+    The list of sampled ids is bounded by that parameter and so can be broadcast; no text is shuffled.
+    The driver receives at most FEATURES ratios and which of them each sampled text holds. Without rows of
+    both kinds there are no features and every score is near 0 or 1, as the labels are.
+    """
     known = (
         labels.filter(F.col("label").isNotNull() & F.col("id").isNotNull() & may_learn)
         .groupBy("id")
         .agg(F.round(F.avg("label")).cast("int").alias("label"))
     )
-    rows = docs.filter(may_learn).join(known, "id").select("id", "text", "label")
     sample = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    toxic, other = known.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    rows = docs.filter(may_learn).join(F.broadcast(sample), "id").select("id", "text", "label")
+    rows = materialise(rows, "labelled")
+    toxic, other = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not toxic or not other:
         return Model(np.empty(0, np.int32), np.empty(0), -500.0 if not toxic else 500.0)
 
@@ -137,8 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_rows: in
     )
     features = chosen["feature"].to_numpy(np.int32)
     ratios = chosen["ratio"].to_numpy(np.float64)
-    drawn = docs.join(F.broadcast(sample), "id").select("id", "text", "label")
-    held = _features_of(drawn, features).orderBy("id").toPandas()
+    held = _features_of(rows, features).orderBy("id").toPandas()
     sets = [np.asarray(h, dtype=np.int32) for h in held["held"]]
     weights, bias = _fit(sets, ratios, held["label"].to_numpy(np.float64))
     return Model(features, weights, bias)
