@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import exact, mixing, packing, simhash, tokens, toxicity, warc
+from matchloom.llm import exact, mixing, multiset, packing, secrets, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,12 +79,35 @@ def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = multiset.edited_fingerprints(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        multiset.as_text(F.col("vector")).alias("fingerprint"),
+        multiset.as_text(F.col("edited_vector")).alias("edited_fingerprint"),
+        multiset.likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
+        multiset.likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+    )
+
+
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return rows.select(
+        F.col("id").alias("doc_id"), *[of_kind(k.name) for k in secrets.BASE],
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"), "n_live", "n_example",
+    )
+
+
 QUERIES = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_curriculum_mix": op2_curriculum_mix,
+    "op3_multiset_hash": op3_multiset_hash,
     "op4_vector_packing": op4_vector_packing,
     "op5_toxicity": op5_toxicity,
     "op6_simhash_bktree": op6_simhash_bktree,
+    "op8_secret_ownership": op8_secret_ownership,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
