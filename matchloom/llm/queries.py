@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import exact, mixing, multiset, packing, secrets, simhash, tokens, toxicity, warc
+from matchloom.llm import exact, mixing, multiset, packing, parsing, secrets, simhash, tokens, toxicity, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,18 @@ def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parsing.remove_repeated(_table(spark, sf_dir, "documents"), length=50)
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op9_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windows.remove_repeated(_table(spark, sf_dir, "documents"), window=35)
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_curriculum_mix": op2_curriculum_mix,
@@ -107,7 +119,9 @@ QUERIES = {
     "op4_vector_packing": op4_vector_packing,
     "op5_toxicity": op5_toxicity,
     "op6_simhash_bktree": op6_simhash_bktree,
+    "op7_prefix_free_parse": op7_prefix_free_parse,
     "op8_secret_ownership": op8_secret_ownership,
+    "op9_super_kmers": op9_super_kmers,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
