@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.llm.common import renamed
@@ -142,19 +142,14 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
 
-def _blocks(fixed: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """The bits not in ``fixed`` (position, width) cut into ``radius + 1`` near-equal blocks."""
-    taken = {p + k for p, w in fixed for k in range(w)}
-    free = [p for p in range(BITS) if p not in taken]
-    out = []
-    for part in np.array_split(free, radius + 1):
-        runs = np.split(part, np.flatnonzero(np.diff(part) != 1) + 1) if len(part) else []
-        out.append([(int(r[0]), len(r)) for r in runs])
-    return out
+def _next_masks(mask: int, radius: int) -> list[int]:
+    """The masks that fix one more block of bits, of ``radius + 1`` near-equal ones of the free bits."""
+    free = [p for p in range(BITS) if not mask >> p & 1]
+    blocks = np.array_split(free, radius + 1)
+    return [mask | sum(1 << int(p) for p in block) for block in blocks if len(block)]
 
 
-def _masked(block: list[tuple[int, int]]) -> int:
-    mask = sum(((1 << w) - 1) << p for p, w in block)
+def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
@@ -167,40 +162,29 @@ def links(fps: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> DataFrame:
     blocks of its other bits, as often as needed, so no task holds more than a tree and no link is lost.
     Trees travel to their shard's task by the shuffle; there is nothing to broadcast that grows with the data.
     """
-    paths: list[list[tuple[int, int]]] = [[]]
-    # A shard is named by which bits it fixes (the path) and a hash of their values.
-    rows = fps.select(F.lit(0).alias("path"), "fp")
-    found: list[DataFrame] = []
+    spark = fps.sparkSession
+    # A shard is the bits it fixes (the mask) and their values; which masks there are depends on no data.
+    masks, found = [0], []
+    rows = fps.select(F.lit(0).cast("long").alias("mask"), "fp")
     while True:
-        more, masks = [], []
-        for k, fixed in enumerate(paths):
-            for block in _blocks(fixed, radius):
-                if block:
-                    more.append(fixed + block)
-                    masks.append((k, len(more) - 1, _masked(fixed + block)))
-        choices: Column = F.filter(
-            F.array(*[
-                F.when(F.col("path") == k, F.struct(F.lit(new).alias("path"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")))
-                for k, new, mask in masks
-            ]),
-            lambda s: s.isNotNull(),
-        )
-        keyed = rows.select("fp", F.explode(choices).alias("s")).select(
-            "fp", "s.path", F.xxhash64("s.path", "s.bits").alias("shard")
+        following = {m: _next_masks(m, radius) for m in masks}
+        table = [(_signed(m), [_signed(x) for x in more]) for m, more in following.items()]
+        step = spark.createDataFrame(table, "mask long, more array<long>")
+        keyed = (
+            rows.join(F.broadcast(step), "mask")
+            .select("fp", F.explode("more").alias("mask"))
+            .withColumn("shard", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
         )
         keyed = materialise(keyed, "shards")
-        sizes = keyed.groupBy("shard").agg(F.count("*").alias("n"))
-        sizes = materialise(sizes.filter("n > 1"), "shard-sizes")
+        sizes = materialise(keyed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "shard-sizes")
         small = keyed.join(sizes.filter(F.col("n") <= tree_size), "shard", "left_semi").select("shard", "fp")
         found.append(_links_in_shards(small, radius))
         hot = sizes.filter(F.col("n") > tree_size)
         if hot.isEmpty():
             break
-        large = keyed.join(hot, "shard", "left_semi").select("path", "fp").distinct()
-        used = [r[0] for r in large.select("path").distinct().collect()]  # at most as many as paths
-        paths = [more[k] for k in used]
-        renumber = F.create_map(*[F.lit(x) for pair in ((old, new) for new, old in enumerate(used)) for x in pair])
-        rows = materialise(large.select(renumber[F.col("path")].alias("path"), "fp"), "large-shards")
+        rows = materialise(keyed.join(hot, "shard", "left_semi").select("mask", "fp").distinct(), "large-shards")
+        used = {r[0] for r in rows.select("mask").distinct().collect()}  # some of the masks named above
+        masks = [x for more in following.values() for x in more if _signed(x) in used]
     out = found[0]
     for more_links in found[1:]:
         out = out.unionByName(more_links)

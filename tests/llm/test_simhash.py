@@ -1,0 +1,77 @@
+import random
+
+import pytest
+import xxhash
+
+from matchloom.llm import components, queries, simhash
+
+
+def brute_fingerprint(text, k):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = low.encode().split()
+    shingles = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints, radius):
+    """id -> fingerprint gives id -> least id reachable."""
+    ids, above = sorted(prints), {}
+    for d in ids:
+        above[d] = d
+
+    def top(d):
+        while above[d] != d:
+            d = above[d]
+        return d
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if (prints[a] ^ prints[b]).bit_count() <= radius:
+                x, y = top(a), top(b)
+                above[max(x, y)] = min(x, y)
+    return {d: top(d) for d in ids}
+
+
+def test_table(spark, sf_dir, texts):
+    prints = {d: brute_fingerprint(t, 3) for d, t in texts.items()}
+    want = {(d, f"{prints[d]:016x}", c) for d, c in brute_components(prints, 3).items()}
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in queries.op6_simhash_bktree(spark, sf_dir).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(("radius", "tree_size"), [(0, 2048), (3, 2048), (3, 12), (5, 40)])
+def test_links_lose_nothing(spark, radius, tree_size):
+    """Clusters around a few centres; small trees force large shards to be split again and again."""
+    rnd = random.Random(radius)
+    centres = [rnd.getrandbits(64) for _ in range(5)] + [0, 2**64 - 1]
+    prints = {rnd.choice(centres) ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 6))) for _ in range(150)}
+    signed = {p - 2**64 if p >> 63 else p: p for p in prints}
+    df = spark.createDataFrame([(s,) for s in signed], "fp long")
+    roots = {r.node: r.root for r in components.components(simhash.links(df, radius, tree_size)).collect()}
+    want = brute_components(signed, radius)
+    assert {s: roots.get(s, s) for s in signed} == want
+
+
+def test_tree_follows_only_edges_that_can_lead_there():
+    tree, rnd = simhash.BkTree(), random.Random(1)
+    values = [rnd.getrandbits(16) for _ in range(300)]
+    for k, v in enumerate(values):
+        assert sorted(tree.add(v, 3)) == [j for j in range(k) if (v ^ values[j]).bit_count() <= 3]
+
+
+def test_components_of_paths_and_stars(spark):
+    links = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1300)] + [(5, 5)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1300), 1000)}
+
+
+def test_odd_rows(odd, empty):
+    rows = simhash.near_groups(odd, 3, 3).collect()
+    assert len(rows) == odd.count()
+    assert {r.component for r in rows if r.id in (1, 2)} == {1}
+    assert {(r.fp, r.component) for r in rows if r.id in (3, 4, 5)} == {(0, 3)}
+    kept = simhash.keep_one(odd, 3, 3)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 6, 7]
+    assert simhash.near_groups(empty, 3, 3).collect() == simhash.keep_one(empty, 3, 3).collect() == []
