@@ -82,7 +82,7 @@ def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = multiset.edited_fingerprints(_table(spark, sf_dir, "documents"))
     return rows.select(
-        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
         multiset.as_text(F.col("vector")).alias("fingerprint"),
         multiset.as_text(F.col("edited_vector")).alias("edited_fingerprint"),
         multiset.likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
