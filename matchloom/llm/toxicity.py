@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,10 @@ ORDERS = (3, 4, 5, 6, 7)
 BITS = 21
 SMOOTHING = 0.5
 LEAST_Z = 3.0  # a ratio counts if it is that many standard errors away from none
-FEATURES = 16384  # of those, at most so many, the surest first
-SAMPLE_ROWS = 24_000  # labelled rows the model is fitted on, at most
+FEATURES = 8192  # of those, at most so many, the surest first
+SAMPLE_ROWS = 16_000  # labelled rows the model is fitted on, at most
 STEPS, RATE, RIDGE = 60, 0.05, 1e-4
+_BLOCK = 1000  # rows of the sample handled at once
 _CHARS = 1 << 20  # characters handled at once; a longer text is read in overlapping parts
 
 # Odd 64-bit multipliers of the rolling hash and its finish.
@@ -94,19 +96,25 @@ def _counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def _fit(held: list[np.ndarray], ratios: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression by full-batch steps (Adam)."""
-    cat = np.concatenate(held) if held else np.empty(0, dtype=np.int32)
-    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
-    value, size = ratios[cat], len(ratios) + 1
+def _fit(cat: np.ndarray, ends: np.ndarray, ratios: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Ridge-penalised logistic regression by full-batch steps (Adam). Row k holds the features
+    ``cat[ends[k]:ends[k + 1]]``; rows are gone through in blocks, which bounds what a step needs."""
+    rows, size = len(labels), len(ratios) + 1
     rate = min(max(labels.mean(), 1e-6), 1 - 1e-6)
     w = np.zeros(size)
     w[-1] = np.log(rate / (1 - rate))
     m, v = np.zeros(size), np.zeros(size)
     for step in range(1, STEPS + 1):
-        s = np.bincount(row, weights=w[cat] * value, minlength=len(held)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(s, -500, 500))) - labels) / len(held)
-        grad = np.append(np.bincount(cat, weights=error[row] * value, minlength=size - 1) + RIDGE * w[:-1], error.sum())
+        grad, scaled = np.zeros(size), w[:-1] * ratios
+        for at in range(0, rows, _BLOCK):
+            end = min(rows, at + _BLOCK)
+            part = cat[ends[at] : ends[end]]
+            row = np.repeat(np.arange(end - at), np.diff(ends[at : end + 1]))
+            s = np.bincount(row, weights=scaled[part], minlength=end - at) + w[-1]
+            error = (1 / (1 + np.exp(-np.clip(s, -500, 500))) - labels[at:end]) / rows
+            grad[:-1] += np.bincount(part, weights=error[row], minlength=size - 1) * ratios
+            grad[-1] += error.sum()
+        grad[:-1] += RIDGE * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return w[:-1] * ratios, float(w[-1])
@@ -142,9 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample_rows: in
     )
     features = chosen["feature"].to_numpy(np.int32)
     ratios = chosen["ratio"].to_numpy(np.float64)
-    held = _features_of(rows, features).orderBy("id").toPandas()
-    sets = [np.asarray(h, dtype=np.int32) for h in held["held"]]
-    weights, bias = _fit(sets, ratios, held["label"].to_numpy(np.float64))
+    table = _features_of(rows, features).orderBy("id").toArrow()
+    held = table.column("held").combine_chunks()
+    lengths = np.asarray(pc.list_value_length(held))
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    labels_of = table.column("label").to_numpy().astype(np.float64)
+    weights, bias = _fit(np.asarray(pc.list_flatten(held)), ends, ratios, labels_of)
     return Model(features, weights, bias)
 
 
