@@ -25,10 +25,15 @@ def hash_below(seed: str, key: Column, fraction: float) -> Column:
 
 
 def hash_id(*keys: Column) -> Column:
-    """Non-negative 60-bit id made of the keys: the same in every layout, and as
-    unique as they are up to hash collisions."""
-    digits = F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in keys])), 1, 15)
-    return F.conv(digits, 16, 10).cast("bigint")
+    """128-bit id made of the keys, as 32 hex digits: the same in every layout, and as
+    unique as they are. Each key is written with its length before it, a null as a dash, so that
+    different keys never read alike."""
+
+    def written(key: Column) -> Column:
+        text = key.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.md5(F.concat(*[written(k) for k in keys]))
 
 
 def hash_number(seed: str, *keys: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import mentions
+from matchloom.sources.pages import BROKEN
 
 # Page size of the service and the last offset it serves: fixed values.
 PAGE_ROWS = 50
@@ -16,23 +17,40 @@ class PageError(ValueError):
     """Landed pages that cannot be used."""
 
 
+def _item_list(pages: DataFrame) -> Column:
+    return F.col("shows.items" if "shows" in pages.columns else "items")
+
+
+def page_problem(pages: DataFrame) -> Column:
+    """Why a page cannot be used, null if it can: a broken document, an error page (its message), or a
+    page without a list of items (an empty list is one)."""
+    return (
+        F.when(F.col(BROKEN).isNotNull(), "broken document")
+        .when(F.col("error").isNotNull(), F.coalesce("error.message", F.lit("error page")))
+        .when(_item_list(pages).isNull(), "no items")
+    )
+
+
 def good_pages(pages: DataFrame) -> DataFrame:
-    return pages.filter(F.col("error").isNull())
+    return pages.filter(page_problem(pages).isNull())
 
 
 def rejected_pages(pages: DataFrame) -> DataFrame:
-    return pages.filter(F.col("error").isNotNull())
+    """The other pages, with the ``problem`` of each."""
+    return pages.withColumn("problem", page_problem(pages)).filter(F.col("problem").isNotNull())
 
 
 def require_pages(pages: DataFrame) -> DataFrame:
-    """The pages, or an error if there is none or one of them is an error page."""
-    state = pages.agg(
-        F.count("*").alias("pages"), F.count("error").alias("errors"), F.min("error.message").alias("why")
-    ).first()
+    """The pages, or an error if there is none or one of them cannot be used."""
+    state = (
+        pages.select(page_problem(pages).alias("problem"))
+        .agg(F.count("*").alias("pages"), F.count("problem").alias("bad"), F.min("problem").alias("why"))
+        .first()
+    )
     if not state["pages"]:
         raise PageError("no page was landed")
-    if state["errors"]:
-        raise PageError(f"{state['errors']} error pages, such as: {state['why']}")
+    if state["bad"]:
+        raise PageError(f"{state['bad']} error pages, such as: {state['why']}")
     return pages
 
 
@@ -77,15 +95,11 @@ def ids_by_name(shows: DataFrame, name: str) -> DataFrame:
     return shows.filter(F.col("show_name") == name).select("show_name", "show_id")
 
 
-def joined_id(shows: DataFrame, name: str) -> str:
-    """The ids of all shows of this name, sorted and written one behind the other;
-    empty if there is none. A search serves ``LAST_OFFSET + PAGE_ROWS`` shows at
-    most, so more of one name cannot come from it and raise."""
-    ids = ids_by_name(shows, name).select("show_id")
-    most = LAST_OFFSET + PAGE_ROWS
-    if ids.limit(most + 1).count() > most:
-        raise PageError(f"more than {most} shows are named {name!r}")
-    return ids.agg(F.array_join(F.sort_array(F.collect_list("show_id")), "")).first()[0]
+def joined_ids(shows: DataFrame) -> DataFrame:
+    """``show_name, show_ids``: the ids of all shows of a name, sorted and written one behind the other."""
+    return shows.groupBy("show_name").agg(
+        F.array_join(F.sort_array(F.collect_list("show_id")), "").alias("show_ids")
+    )
 
 
 def mentioning(episodes: DataFrame, phrase: str) -> DataFrame:
@@ -96,20 +110,28 @@ def mentioning(episodes: DataFrame, phrase: str) -> DataFrame:
 def expected_pages(total: Column, page_rows: int = PAGE_ROWS) -> Column:
     """Pages fetched for a feed of ``total`` rows: a last, possibly empty one
     behind the full ones, up to the last offset served."""
-    most = LAST_OFFSET // PAGE_ROWS + 1
-    return F.least(F.floor(total / page_rows) + 1, F.lit(most)).cast("bigint")
+    most = LAST_OFFSET // page_rows + 1
+    pages = F.least(F.floor(total / page_rows) + 1, F.lit(most)).cast("bigint")
+    return F.when(total.isNotNull(), pages)
 
 
 def page_completeness(pages: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """Per feed: rows and pages landed against those announced. A page counts its
-    own items before the shuffle, so a large feed moves small partial sums."""
+    """Per feed that is seen at all: rows and pages landed against those announced. A page landed
+    twice counts once, by its offset; a feed of which only failures landed has none of either and an
+    unknown total. Pages are brought together by feed and offset before they are summed, so a
+    large feed is spread over its pages."""
+    usable = page_problem(pages).isNull()
+    rows = F.size(_item_list(pages)).cast("bigint")
     landed = (
-        good_pages(pages)
+        pages.filter(F.col("feed").isNotNull())
+        .select("feed", F.when(usable, F.col("offset")).alias("offset"), "total", F.when(usable, rows).alias("n"))
+        .groupBy("feed", "offset")
+        .agg(F.max("total").alias("total"), F.max("n").alias("n"))
         .groupBy("feed")
         .agg(
             F.max("total").alias("total"),
-            F.sum(F.coalesce(F.size("items"), F.lit(0))).cast("bigint").alias("rows_landed"),
-            F.count("*").alias("pages_landed"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows_landed"),
+            F.count("n").alias("pages_landed"),
         )
     )
     return landed.select(
@@ -118,5 +140,5 @@ def page_completeness(pages: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame
         "rows_landed",
         "pages_landed",
         expected_pages(F.col("total"), page_rows).alias("pages_expected"),
-        (F.col("rows_landed") == F.col("total")).alias("rows_complete"),
-    ).withColumn("pages_complete", F.col("pages_landed") == F.col("pages_expected"))
+        F.coalesce(F.col("rows_landed") == F.col("total"), F.lit(False)).alias("rows_complete"),
+    ).withColumn("pages_complete", F.coalesce(F.col("pages_landed") == F.col("pages_expected"), F.lit(False)))

@@ -52,9 +52,21 @@ def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
 
 
+def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Without the named columns; names the frame lacks are ignored."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in set(columns)])
+
+
+def keep_members(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose column is among the ids (a frame of one column), however often it is there.
+    A null is no member."""
+    (member,) = ids.columns
+    return df.join(ids.select(F.col(member).alias(column)), column, "left_semi").select(*df.columns)
+
+
 def with_id(df: DataFrame, name: str = "id", keys: Sequence[str] | None = None) -> DataFrame:
-    """Add a bigint id. With ``keys`` it is a hash of them, the same in every
-    layout; without, it is unique but depends on how the input is split."""
+    """Add an id. With ``keys`` it is a hash of them (text), the same in every layout;
+    without, a number that is unique but depends on how the input is split."""
     if keys:
         return df.withColumn(name, hash_id(*[F.col(k) for k in keys]))
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -49,7 +49,6 @@ def salted_join(
     right_counts: DataFrame | None = None,
     cell_rows: int = CELL_ROWS,
     spread: bool = False,
-    none_hot: bool = False,
 ) -> DataFrame:
     """Inner equi-join of ``left`` and ``right`` on the columns ``on``.
 
@@ -62,11 +61,8 @@ def salted_join(
     already known can be passed in to spare the pass for them. ``spread`` is for
     joins that yield far more rows than they read: it uses all shuffle partitions,
     where adaptive execution would merge them by the small size of the input.
-    ``none_hot`` says that the caller knows no key to be hot, and leaves a plain join.
     """
     on = list(on)
-    if none_hot:
-        return _joined(left, right, on, spread)
     lc = left_counts if left_counts is not None else key_counts(left, on)
     rc = right_counts if right_counts is not None else key_counts(right, on)
     hot = (

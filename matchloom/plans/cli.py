@@ -17,9 +17,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from matchloom.operators.noise import NoiseShares
 from matchloom.plans import extracts, linkage, podcast
 from matchloom.session import SETTINGS
 
+NOISE_KINDS = ("missing", "one_word", "two_words")
+
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="matchloom")
@@ -36,6 +39,11 @@ def parser() -> argparse.ArgumentParser:
         job.add_argument("--id-keys", nargs="*", default=list(base.id_keys))
         job.add_argument("--fraction", type=float, default=base.fraction)
         job.add_argument("--limit", type=int, default=base.limit)
+        job.add_argument("--sample-seed", default=base.sample_seed)
+        job.add_argument("--extraction-time", action="store_true")
+        for kind in NOISE_KINDS:
+            job.add_argument(f"--{kind.replace('_', '-')}", type=float, default=getattr(base.shares, kind))
+        job.add_argument("--within", nargs="*", default=list(base.within))
         job.add_argument("--min-score", type=float, default=base.min_score)
         job.add_argument("--strict", action="store_true")
         job.add_argument("--partition-by", nargs="*", default=list(base.partition_by))
@@ -70,6 +78,10 @@ def config(args: argparse.Namespace) -> linkage.LinkageConfig:
         id_keys=tuple(args.id_keys),
         fraction=args.fraction,
         limit=args.limit,
+        sample_seed=args.sample_seed,
+        extraction_time=args.extraction_time,
+        shares=NoiseShares(**{kind: getattr(args, kind) for kind in NOISE_KINDS}),
+        within=tuple(args.within),
         min_score=args.min_score,
         strict=args.strict,
         partition_by=tuple(args.partition_by),

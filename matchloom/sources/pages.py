@@ -23,14 +23,18 @@ EPISODE_ITEM = T.StructType(
         *_strings("release_date"),
     ]
 )
+BROKEN = "_broken"  # the text of a document that is no whole JSON object
+_BROKEN = T.StructField(BROKEN, T.StringType())
 SHOW_PAGE = T.StructType(
     [
+        _BROKEN,
         _ERROR,
         T.StructField("shows", T.StructType([T.StructField("items", T.ArrayType(SHOW_ITEM))])),
     ]
 )
 EPISODE_PAGE = T.StructType(
     [
+        _BROKEN,
         _ERROR,
         T.StructField("feed", T.StringType()),
         T.StructField("offset", T.LongType()),
@@ -42,5 +46,6 @@ EPISODE_PAGE = T.StructType(
 
 def read_pages(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read a folder of pages, one JSON document per line, with a given schema.
-    A key missing in a page is null; no inference pass is run."""
-    return spark.read.schema(schema).json(path)
+    A key missing in a page is null; no inference pass is run. A document that was cut off or is no
+    JSON at all keeps its text in the column ``BROKEN``, and what could be read of it is not used."""
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", BROKEN).json(path)

@@ -6,25 +6,39 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FORMATS = ("csv", "parquet", "json", "orc")
+# How delimited files are written and read here: quotes in a text are doubled, an empty text is written as
+# two quotes and a null as nothing. The null mark stands in no file; it only keeps the two apart on reading.
+CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""'}
+CSV_READ = {"header": "true", "quote": '"', "escape": '"', "nullValue": "\x00", "emptyValue": "", "enforceSchema": "false"}
 
 
 def read_extract(
-    spark: SparkSession, path: str, fmt: str = "csv", schema: str | None = None
+    spark: SparkSession,
+    path: str | Sequence[str],
+    fmt: str = "csv",
+    schema: str | T.StructType | None = None,
+    infer: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Read one extract. Without ``schema`` the types of a CSV file are inferred,
-    which costs one more pass over it."""
+    """Read one extract, or files with the same columns in the same order; anything else is an error.
+
+    The columns of a CSV file are text unless a ``schema`` says otherwise, so types do not depend on the
+    rows a file happens to hold; ``infer`` asks for types found in the data, at the cost of a pass
+    over it. ``multi_line`` is for texts that hold line ends; such files are not split.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"format {fmt!r} is not one of {FORMATS}")
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
-        if schema is None:
-            reader = reader.option("inferSchema", True)
-    return reader.format(fmt).load(path)
+        reader = reader.options(**CSV_READ).option("multiLine", multi_line)
+        reader = reader.option("inferSchema", infer and schema is None)
+    return reader.format(fmt).load(path if isinstance(path, str) else list(path))
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -34,16 +48,44 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a folder or glob, by name; their content is not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return sorted(r[0] for r in found.filter(~F.element_at(F.split("path", "/"), -1).startswith("_")).collect())
+
+
+def read_folder(
+    spark: SparkSession, path: str, types: Mapping[str, str] | None = None, multi_line: bool = False
+) -> DataFrame:
+    """Unite the CSV files of a folder, whose columns may differ in number and order, by column name.
+
+    Files are grouped by their header, of which one line each is read, and every group is read as one
+    frame. Columns are text, or of the type that ``types`` names; the driver holds the file names.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in _files(spark, path):
+        header = spark.read.options(**CSV_READ).option("multiLine", multi_line).csv(file).columns
+        groups.setdefault(tuple(header), []).append(file)
+    types = types or {}
+    frames = []
+    for header, files in groups.items():
+        schema = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in header)
+        frames.append(read_extract(spark, files, "csv", schema, multi_line=multi_line))
+    return union_by_name(frames)
+
+
 def read_extracts(
     spark: SparkSession,
     paths: Sequence[str],
     fmt: str = "csv",
     schemas: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Read several extracts of one kind, whose columns may differ, as one frame.
-
-    Give one path per column set, not per file: a path may be a folder or a
-    glob, and Spark splits its files over the executors.
-    """
+    """Read several extracts of one kind, whose columns may differ, as one frame. Files of a CSV folder
+    without a schema may differ too; a path with one holds files of those columns."""
     schemas = schemas or {}
-    return union_by_name([read_extract(spark, p, fmt, schemas.get(p)) for p in paths])
+    return union_by_name(
+        [
+            read_folder(spark, p) if fmt == "csv" and p not in schemas else read_extract(spark, p, fmt, schemas.get(p))
+            for p in paths
+        ]
+    )

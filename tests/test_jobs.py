@@ -10,11 +10,11 @@ from matchloom.operators.counts import observed, stage_counts
 from matchloom.plans import cli, extracts, linkage
 from matchloom.sinks.tables import jdbc_options, replace_csv, replace_parquet, replace_table
 from matchloom.sources.stores import s3a_conf
-from matchloom.sources.tabular import read_extract, union_by_name
+from matchloom.sources.tabular import read_extract, read_folder, union_by_name
 from workload.inputs import address_lines, table, write_lines
 
 CFG = linkage.LinkageConfig(
-    id_keys=("identificacao_domicilio_coletivo",), fraction=1.0, min_score=0.9
+    id_keys=("identificacao_domicilio_coletivo",), min_score=0.9
 )
 
 
@@ -25,7 +25,7 @@ def landing(spark, sf_dir):
 
 def test_stages_one_by_one_equal_the_whole_job(spark, landing, tmp_path):
     counts = linkage.run_linkage(spark, landing, f"{tmp_path}/whole", CFG)
-    args = ["--id-keys", *CFG.id_keys, "--fraction", "1", "--min-score", "0.9"]
+    args = ["--id-keys", *CFG.id_keys, "--min-score", "0.9"]
     at = {n: f"{tmp_path}/{n}" for n in ("raw", "a", "b", "pairs", "matrix")}
 
     def run(*argv):
@@ -59,15 +59,35 @@ def test_partitioned_raw_table_reads_back_the_same(spark, tmp_path):
     assert "PartitionFilters: [" in plan
 
 
-def test_base_a_defaults_to_generated_ids(spark, landing):
-    cfg = linkage.LinkageConfig(fraction=1.0, extraction_time=True)
+def test_base_a_takes_all_rows_and_needs_id_keys(spark, landing):
+    cfg = linkage.LinkageConfig(id_keys=CFG.id_keys, extraction_time=True)
     raw = linkage.parse_landing(spark, landing, cfg)
     base = linkage.build_base_a(raw, cfg)
     assert base.columns == ["id", *linkage.ADDRESS_COLUMNS, "extracted_at", linkage.COMPLEMENT]
-    assert dict(base.dtypes)["id"] == "bigint"
-    assert base.select("id").distinct().count() == base.count() > 0
-    capped = linkage.build_base_a(raw, linkage.LinkageConfig(fraction=1.0, limit=7))
-    assert capped.count() == 7
+    assert base.select("id").distinct().count() == base.count() == raw.filter(f"{linkage.CODE} = '27408'").count()
+    cut = linkage.build_base_a(raw, linkage.LinkageConfig(id_keys=CFG.id_keys, limit=7))
+    assert cut.count() == 7
+    with pytest.raises(ValueError, match="id_keys"):
+        linkage.build_base_a(raw, linkage.LinkageConfig())
+
+
+def test_nothing_is_cut_from_a_large_base(spark):
+    fields = [f.name for f in linkage.ADDRESS_LAYOUT]
+    key = CFG.id_keys[0]
+    raw = spark.range(100_500).select(
+        *[
+            (F.col("id").cast("string") if f == key else F.lit("27408" if f == linkage.CODE else "x")).alias(f)
+            for f in fields
+        ]
+    )
+    assert linkage.build_base_a(raw, CFG).count() == 100_500
+
+
+def test_draws_do_not_depend_on_the_layout(spark, landing):
+    cfg = linkage.LinkageConfig(id_keys=CFG.id_keys, fraction=0.5, limit=40)
+    raw = linkage.parse_landing(spark, landing, cfg)
+    bases = [sorted(linkage.build_base_a(raw.repartition(n), cfg).collect()) for n in (1, 4)]
+    assert bases[0] == bases[1] and 0 < len(bases[0]) <= 40
 
 
 def test_base_a_reads_only_what_it_needs(spark, landing, tmp_path):
@@ -82,7 +102,9 @@ def test_csv_keeps_nulls_apart_from_empty_texts(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, ""), (3, 'a,"b"')], "i int, t string").coalesce(1)
     replace_csv(df, f"{tmp_path}/x")
     lines = sorted(r.value for r in spark.read.text(f"{tmp_path}/x").collect())
-    assert lines == ["1,", '2,""', '3,"a,\\"b\\""', "i,t"]
+    assert lines == ["1,", '2,""', '3,"a,""b"""', "i,t"]
+    back = read_extract(spark, f"{tmp_path}/x", schema="i int, t string")
+    assert sorted(back.collect()) == sorted(df.collect())
 
 
 def test_replacing_writers(spark, tmp_path):
@@ -127,7 +149,11 @@ def test_extracts(spark, tmp_path):
     replace_csv(two, paths[1])
     got = extracts.unite_extracts(spark, paths, "csv", extracts.SALES_NAMES)
     assert got.columns == ["marca_id", "marca_name", "venda_quantity", "other"]
-    assert sorted(map(tuple, got.collect())) == [(1, "m", 5, None), (2, "n", None, "x")]
+    assert sorted(map(tuple, got.collect())) == [("1", "m", "5", None), ("2", "n", None, "x")]
+    typed = read_folder(spark, f"{tmp_path}", {"ID_MARCA": "int"})
+    assert sorted(map(tuple, typed.collect())) == [(1, "m", "5", None), (2, "n", None, "x")]
+    with pytest.raises(Exception):  # noqa: B017  columns in another order are an error, not shifted
+        read_extract(spark, paths[0], schema="MARCA string, ID_MARCA int, QTD_VENDA int").collect()
     with pytest.raises(ValueError, match="xlsx"):
         read_extract(spark, paths[0], "xlsx")
     with pytest.raises(ValueError, match="no extract"):

@@ -3,13 +3,15 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchloom.operators.pages import (
     PageError,
+    expected_pages,
     flatten_episodes,
     flatten_shows,
     good_pages,
-    joined_id,
+    joined_ids,
     page_completeness,
     rejected_pages,
     require_pages,
@@ -51,8 +53,7 @@ def test_flatten(spark, tmp_path):
         "episode_id", "episode_description", "episode_duration", "episode_release_date",
     ]
     assert sorted(r[0] for r in episodes.collect()) == ["e1", "e2", "e3"]
-    assert joined_id(shows, "Cast") == "s1s2"
-    assert joined_id(shows, "Nobody") == ""
+    assert {r.show_name: r.show_ids for r in joined_ids(shows).collect()} == {"Cast": "s1s2", "Caste": "s3"}
 
 
 def test_error_pages(spark, tmp_path):
@@ -67,11 +68,15 @@ def test_error_pages(spark, tmp_path):
 
 def test_completeness(spark, tmp_path):
     def feed(name, total, pages):
-        return [{"feed": name, "total": total, "items": [{"id": str(i)} for i in range(n)]} for n in pages]
+        return [
+            {"feed": name, "offset": 50 * k, "total": total, "items": [{"id": str(i)} for i in range(n)]}
+            for k, n in enumerate(pages)
+        ]
 
     pages = _pages(
         spark, tmp_path, "e.json",
-        feed("even", 100, [50, 50, 0]) + feed("odd", 60, [50]) + feed("big", 5000, [50] * 40),
+        feed("even", 100, [50, 50, 0]) + feed("odd", 60, [50]) + feed("big", 5000, [50] * 40)
+        + feed("odd", 60, [50]) + [{"feed": "lost", "error": {"status": 500}}],
         EPISODE_PAGE,
     )
     got = {r.feed: tuple(r)[1:] for r in page_completeness(pages).collect()}
@@ -79,7 +84,20 @@ def test_completeness(spark, tmp_path):
         "even": (100, 100, 3, 3, True, True),
         "odd": (60, 50, 1, 2, False, False),
         "big": (5000, 2000, 40, 40, False, True),
+        "lost": (None, 0, 0, None, False, False),
     }
+    assert spark.range(1).select(expected_pages(F.lit(1500), 20)).first()[0] == 76
+
+
+def test_broken_documents_are_rejected(spark, tmp_path):
+    lines = [json.dumps(EPISODES[0]), json.dumps(EPISODES[0])[:-20], "no json", '{"feed": "s9"}']
+    (tmp_path / "b.json").write_text("\n".join(lines))
+    pages = read_pages(spark, str(tmp_path / "b.json"), EPISODE_PAGE)
+    assert good_pages(pages).count() == 1
+    found = sorted(r.problem for r in rejected_pages(pages).collect())
+    assert found == ["broken document", "broken document", "no items"]
+    with pytest.raises(PageError):
+        require_pages(pages)
 
 
 def test_podcast_job(spark, tmp_path):

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from matchloom.functions.text import any_longer_than, any_not_null, collapse_spaces
 from matchloom.operators.counts import stage_counts
 from matchloom.operators.layout import Field, parse_fixed_width
+from matchloom.operators.projection import drop_columns as without_columns
 from matchloom.operators.projection import (
     concat_columns,
     filter_code,
+    keep_members,
     numbered,
     rename_columns,
     suffix_columns,
@@ -77,7 +79,7 @@ def select_generated_columns(spark, sf):
 
 
 def drop_columns(spark, sf):
-    return table(spark, sf, "orders").drop("o_orderdate", "o_totalprice", "no_such_column")
+    return without_columns(table(spark, sf, "orders"), ["o_orderdate", "o_totalprice", "no_such_column"])
 
 
 def suffix_rename(spark, sf):
@@ -97,8 +99,15 @@ def filter_by_code(spark, sf):
 
 def word_count_filter(spark, sf):
     docs = table(spark, sf, "documents")
-    short = F.when(F.col("lang") == "en", F.col("text"))
-    return docs.filter(any_longer_than([short, F.regexp_replace("source", "1", " ")], 2)).select("doc_id")
+    # Besides the whole table, rows with a null on either side.
+    texts = docs.select("doc_id", "text", F.regexp_replace("source", "1", " ").alias("source"))
+    nulls = docs.select(
+        (-F.col("doc_id") - 1).alias("doc_id"),
+        F.when(F.col("lang") == "en", F.substring("text", 1, 12)).alias("text"),
+        F.when(F.col("lang") != "de", F.regexp_replace("source", "1", " ")).alias("source"),
+    )
+    every = texts.unionByName(nulls)
+    return every.filter(any_longer_than([F.col("text"), F.col("source")], 2)).select("doc_id")
 
 
 def either_not_null(spark, sf):
@@ -113,7 +122,7 @@ def either_not_null(spark, sf):
 def id_membership(spark, sf):
     ids = table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return orders.join(ids.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    return keep_members(orders, "o_custkey", ids.select("c_custkey"))
 
 
 def complement_concat(spark, sf):
@@ -138,6 +147,16 @@ def surrogate_id_hash(spark, sf):
     return with_id(table(spark, sf, "orders").select("o_orderkey"), "id", ["o_orderkey"])
 
 
+def surrogate_id_two_keys(spark, sf):
+    """Ids of two keys that hold colons and nulls and, joined, would read alike."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit("a:b")).when(F.col("o_orderkey") % 3 == 1, "a").alias("x"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("c")).when(F.col("o_orderkey") % 5 == 0, "b:c").alias("y"),
+    )
+    return with_id(orders, "id", ["x", "y"])
+
+
 def surrogate_id_monotonic(spark, sf):
     ids = with_id(table(spark, sf, "orders").select("o_orderpriority"))
     return ids.groupBy("o_orderpriority").agg(
@@ -148,7 +167,13 @@ def surrogate_id_monotonic(spark, sf):
 
 
 def extracted_at(spark, sf):
-    return with_extraction_time(table(spark, sf, "customer").select("c_custkey"))
+    """What can be said of a clock: one instant, for every row."""
+    stamped = with_extraction_time(table(spark, sf, "customer").select("c_custkey"))
+    return stamped.agg(
+        F.count("extracted_at").alias("n_stamped"),
+        F.countDistinct("extracted_at").alias("n_instants"),
+        (F.min("extracted_at") > F.lit("2024-01-01").cast("timestamp")).alias("plausible"),
+    )
 
 
 def stage_row_counts(spark, sf):
@@ -178,6 +203,7 @@ QUERIES = {
     "complement_concat": complement_concat,
     "collapse_spaces": collapse_text,
     "surrogate_id_hash": surrogate_id_hash,
+    "surrogate_id_two_keys": surrogate_id_two_keys,
     "surrogate_id_monotonic": surrogate_id_monotonic,
     "extracted_at": extracted_at,
     "stage_row_counts": stage_row_counts,
@@ -214,9 +240,12 @@ ORACLE = {
         SELECT c_custkey, rpad(c_mktsegment, 12, ' ') AS segment
         FROM customer WHERE c_mktsegment = 'BUILDING'""",
     "word_count_filter": """
-        SELECT doc_id FROM documents
-        WHERE (lang = 'en' AND len(string_split(text, ' ')) > 2)
-           OR len(string_split(replace(source, '1', ' '), ' ')) > 2""",
+        SELECT doc_id FROM (
+            SELECT doc_id, text, replace(source, '1', ' ') AS source FROM documents
+            UNION ALL
+            SELECT -doc_id - 1, CASE WHEN lang = 'en' THEN substr(text, 1, 12) END,
+                   CASE WHEN lang <> 'de' THEN replace(source, '1', ' ') END FROM documents)
+        WHERE len(string_split(text, ' ')) > 2 OR len(string_split(source, ' ')) > 2""",
     "either_not_null": """
         SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status, nullif(o_orderpriority, '5-LOW') AS priority
         FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '5-LOW')""",
@@ -231,7 +260,13 @@ ORACLE = {
     "collapse_spaces": r"""
         SELECT doc_id, regexp_replace(trim(text), '\s{2,}', ' ', 'g') AS text FROM documents""",
     "surrogate_id_hash": """
-        SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 15))::BIGINT AS id FROM orders""",
+        SELECT o_orderkey, md5(length(o_orderkey::VARCHAR) || ':' || o_orderkey) AS id FROM orders""",
+    "surrogate_id_two_keys": """
+        SELECT *, md5(coalesce(length(x) || ':' || x, '-') || coalesce(length(y) || ':' || y, '-')) AS id
+        FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a:b' WHEN 1 THEN 'a' END AS x,
+                     CASE WHEN o_orderkey % 2 = 0 THEN 'c' WHEN o_orderkey % 5 = 0 THEN 'b:c' END AS y
+              FROM orders)""",
+    "extracted_at": "SELECT count(*) AS n_stamped, 1 AS n_instants, true AS plausible FROM customer",
     "surrogate_id_monotonic": """
         SELECT o_orderpriority, count(*) AS n_rows, count(*) AS n_ids, true AS no_negative_id
         FROM orders GROUP BY o_orderpriority""",

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from matchloom.plans.extracts import SALES_NAMES, files_to_table
 from matchloom.session import scratch_path
 from matchloom.sinks.tables import replace_csv, replace_parquet, replace_table
-from matchloom.sources.tabular import read_extract, read_extracts
+from matchloom.sources.tabular import read_extract, read_folder
 from workload.inputs import table
 
 
 def csv_header_scan(spark, sf):
     path = scratch_path(spark, "customer-csv")
     replace_csv(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), path)
-    return read_extract(spark, path)
+    return read_extract(spark, path, schema="c_custkey bigint, c_name string, c_mktsegment string")
 
 
 def csv_sink_roundtrip(spark, sf):
@@ -24,18 +24,13 @@ def csv_sink_roundtrip(spark, sf):
     supplier = table(spark, sf, "supplier").select(
         "s_suppkey",
         F.concat(F.col("s_name"), F.lit(', "quoted"\nline')).alias("s_name"),
-        F.when(F.col("s_nationkey") > 20, F.lit("far")).alias("note"),
+        F.when(F.col("s_nationkey") > 20, F.lit("far")).when(F.col("s_nationkey") > 10, F.lit("")).alias("note"),
         "s_nationkey",
     )
     replace_csv(supplier.limit(0), path)
     replace_csv(supplier, path)
-    return (
-        spark.read.schema("s_suppkey bigint, s_name string, note string, s_nationkey int")
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", "\\")
-        .csv(path)
-    )
+    schema = "s_suppkey bigint, s_name string, note string, s_nationkey int"
+    return read_extract(spark, path, schema=schema, multi_line=True)
 
 
 def parquet_overwrite(spark, sf):
@@ -56,37 +51,32 @@ def table_replace(spark, sf):
     return spark.table(name)
 
 
-def _two_extracts(spark, sf):
-    """Finished and other orders as CSV folders of their own; one lacks the priority."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    done, rest = scratch_path(spark, "orders-done"), scratch_path(spark, "orders-rest")
-    replace_csv(orders.filter(F.col("o_orderstatus") == "F").drop("o_orderpriority"), done)
-    replace_csv(orders.filter(F.col("o_orderstatus") != "F"), rest)
-    return [done, rest]
-
-
 def multi_file_union(spark, sf):
-    done, rest = _two_extracts(spark, sf)
-    schemas = {
-        done: "o_orderkey bigint, o_custkey bigint, o_orderstatus string",
-        rest: "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string",
-    }
-    return read_extracts(spark, [done, rest], "csv", schemas)
+    """One folder of files that lack a column or have them in another order."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    path, status = scratch_path(spark, "orders"), F.col("o_orderstatus")
+    replace_csv(orders.filter(status == "F").drop("o_orderpriority"), f"{path}/done")
+    replace_csv(orders.filter(status == "O"), f"{path}/open")
+    turned = orders.select("o_orderpriority", "o_orderstatus", "o_orderkey", "o_custkey")
+    replace_csv(turned.filter((status != "F") & (status != "O")), f"{path}/other")
+    return read_folder(spark, path, {"o_orderkey": "bigint", "o_custkey": "bigint"})
 
 
 def sales_to_table(spark, sf):
-    """Line items as two sales extracts, one without the quantity, into a table."""
+    """Line items as two sales extracts, one without the quantity and with brands that are no
+    numbers, into a table whose columns are all text."""
     sales = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("ID_MARCA"),
         F.concat(F.lit("marca "), F.col("l_suppkey").cast("string")).alias("MARCA"),
         F.col("l_partkey").alias("ID_LINHA"),
         F.concat(F.lit("linha "), F.col("l_partkey").cast("string")).alias("LINHA"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("DATA_VENDA"),
-        F.col("l_quantity").alias("QTD_VENDA"),
+        F.col("l_quantity").cast("int").alias("QTD_VENDA"),
         "l_returnflag",
     )
     returned, kept = scratch_path(spark, "sales-returned"), scratch_path(spark, "sales-kept")
-    replace_csv(sales.filter(F.col("l_returnflag") == "R").drop("QTD_VENDA"), returned)
+    lettered = sales.withColumn("ID_MARCA", F.concat(F.lit("A"), F.col("ID_MARCA").cast("string")))
+    replace_csv(lettered.filter(F.col("l_returnflag") == "R").drop("QTD_VENDA"), returned)
     replace_csv(sales.filter(F.col("l_returnflag") != "R").drop("l_returnflag"), kept)
     name = f"sales_{uuid.uuid4().hex}"
     files_to_table(
@@ -105,10 +95,10 @@ QUERIES = {
 }
 
 ORACLE = {
-    "csv_header_scan": "SELECT c_custkey::INT AS c_custkey, c_name, c_mktsegment FROM customer",
+    "csv_header_scan": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
     "csv_sink_roundtrip": """
         SELECT s_suppkey, s_name || ', "quoted"' || chr(10) || 'line' AS s_name,
-               CASE WHEN s_nationkey > 20 THEN 'far' END AS note, s_nationkey
+               CASE WHEN s_nationkey > 20 THEN 'far' WHEN s_nationkey > 10 THEN '' END AS note, s_nationkey
         FROM supplier""",
     "parquet_overwrite": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'F'",
     "table_replace": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 0",
@@ -117,9 +107,10 @@ ORACLE = {
                CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority
         FROM orders""",
     "files_to_table": """
-        SELECT l_suppkey::INT AS marca_id, 'marca ' || l_suppkey AS marca_name, l_partkey::INT AS linha_id,
+        SELECT CASE WHEN l_returnflag = 'R' THEN 'A' ELSE '' END || l_suppkey AS marca_id,
+               'marca ' || l_suppkey AS marca_name, l_partkey::VARCHAR AS linha_id,
                'linha ' || l_partkey AS linha_name, l_orderkey || '-' || l_linenumber AS venda_date,
-               CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS venda_quantity,
+               CASE WHEN l_returnflag <> 'R' THEN l_quantity::INT::VARCHAR END AS venda_quantity,
                CASE WHEN l_returnflag = 'R' THEN l_returnflag END AS l_returnflag
         FROM lineitem""",
 }

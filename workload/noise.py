@@ -20,12 +20,14 @@ COLUMNS = ["title", "body"]
 
 
 def _base(spark, sf):
-    """Documents with two text columns; some titles of one word, some bodies null."""
-    return table(spark, sf, "documents").select(
-        "doc_id",
-        F.concat_ws(" ", "lang", F.expr("nullif(source, 'src1')")).alias("title"),
-        F.expr("CASE WHEN lang <> 'de' THEN text END").alias("body"),
+    """All documents with two text columns, and for every tenth a further row with a title of one
+    word and no body."""
+    documents = table(spark, sf, "documents")
+    title = F.concat_ws(" ", "lang", "source").alias("title")
+    nulls = documents.filter("doc_id % 10 = 0").select(
+        (-F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("title"), F.lit(None).cast("string").alias("body")
     )
+    return documents.select("doc_id", title, F.col("text").alias("body")).unionByName(nulls)
 
 
 def noise_quota(spark, sf):
@@ -183,9 +185,9 @@ noisy AS (
 
 BASE_SQL = """
 WITH base AS (
-    SELECT doc_id, concat_ws(' ', lang, nullif(source, 'src1')) AS title,
-           CASE WHEN lang <> 'de' THEN text END AS body
-    FROM documents
+    SELECT doc_id, concat_ws(' ', lang, source) AS title, text AS body FROM documents
+    UNION ALL
+    SELECT -doc_id - 1, lang, NULL FROM documents WHERE doc_id % 10 = 0
 )"""
 _SHARES = (SHARES.missing, SHARES.one_word, SHARES.two_words)
 

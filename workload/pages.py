@@ -10,6 +10,7 @@ from matchloom.operators.pages import (
     flatten_shows,
     good_pages,
     ids_by_name,
+    joined_ids,
     page_completeness,
     rejected_pages,
 )
@@ -52,19 +53,37 @@ def flatten_pages(spark, sf):
     return flatten_episodes(good_pages(_orders(spark, sf)), ["feed"])
 
 
+def _troubled(spark, sf):
+    """The order pages, with some landed twice, some cut off, and feeds of failures alone."""
+    lines = order_pages(table(spark, sf, "orders"))
+    feed = F.get_json_object("value", "$.feed").cast("bigint")
+    offset = F.get_json_object("value", "$.offset")
+    twice = lines.filter((feed % 5 == 0) & (offset == "0"))
+    cut_off = lines.filter((feed % 7 == 0) & (offset == "0")).select(
+        F.expr("substring(value, 1, length(value) - 3)").alias("value")
+    )
+    lost = lines.filter((feed % 11 == 0) & (offset == "0")).select(
+        F.format_string('{"error": {"status": 500, "message": "gone"}, "feed": "lost-%d"}', feed).alias("value")
+    )
+    path = write_lines(lines.unionByName(twice).unionByName(cut_off).unionByName(lost), "troubled-pages")
+    return read_pages(spark, path, EPISODE_PAGE)
+
+
 def page_quality(spark, sf):
-    pages = _orders(spark, sf)
+    """Verdicts by feed; what a broken document says of its feed is not used."""
+    pages = _troubled(spark, sf)
+    known = F.when(F.col("problem") != "broken document", F.col("feed")).alias("feed")
     return (
         good_pages(pages)
         .select("feed", F.lit("good").alias("verdict"))
-        .unionByName(rejected_pages(pages).select("feed", F.col("error.message").alias("verdict")))
+        .unionByName(rejected_pages(pages).select(known, F.col("problem").alias("verdict")))
         .groupBy("feed", "verdict")
         .agg(F.count("*").alias("n_pages"))
     )
 
 
 def feed_completeness(spark, sf):
-    return page_completeness(_orders(spark, sf))
+    return page_completeness(_troubled(spark, sf))
 
 
 def mention_filter(spark, sf):
@@ -76,6 +95,10 @@ def lookup_ids(spark, sf):
     return ids_by_name(flatten_shows(_shows(spark, sf)), SHOW)
 
 
+def ids_of_names(spark, sf):
+    return joined_ids(flatten_shows(_shows(spark, sf)))
+
+
 def _podcast(spark, sf):
     episodes = write_lines(episode_pages(table(spark, sf, "documents")), "episode-pages")
     return podcast_mentions(_shows(spark, sf), read_pages(spark, episodes, EPISODE_PAGE), SHOW, PHRASE)
@@ -101,6 +124,7 @@ QUERIES = {
     "page_completeness": feed_completeness,
     "mention_filter": mention_filter,
     "lookup_ids": lookup_ids,
+    "joined_ids": ids_of_names,
     "podcast_shows": podcast_shows,
     "podcast_episodes": podcast_episodes,
     "podcast_mentions": podcast_mentioned,
@@ -129,19 +153,35 @@ ORACLE = {
                o_orderpriority || ' ' || o_orderstatus AS episode_description,
                o_custkey AS episode_duration, o_orderstatus AS episode_release_date
         FROM numbered JOIN pages USING (feed, page) WHERE NOT failed""",
-    "page_quality": f"""WITH {ORDER_PAGES_SQL}
-        SELECT feed::VARCHAR AS feed, CASE WHEN failed THEN 'try later' ELSE 'good' END AS verdict,
-               count(*) AS n_pages
-        FROM pages GROUP BY ALL""",
+    "page_quality": f"""WITH {ORDER_PAGES_SQL},
+        verdicts AS (
+            SELECT feed::VARCHAR AS feed, CASE WHEN failed THEN 'try later' ELSE 'good' END AS verdict FROM pages
+            UNION ALL
+            SELECT feed::VARCHAR, 'good' FROM pages WHERE feed % 5 = 0 AND page = 0 AND NOT failed
+            UNION ALL
+            SELECT NULL, 'broken document' FROM pages WHERE feed % 7 = 0 AND page = 0 AND NOT failed
+            UNION ALL
+            SELECT 'lost-' || feed, 'gone' FROM pages WHERE feed % 11 = 0 AND page = 0 AND NOT failed
+        )
+        SELECT feed, verdict, count(*) AS n_pages FROM verdicts GROUP BY ALL""",
     "page_completeness": f"""WITH {ORDER_PAGES_SQL},
-        landed AS (SELECT feed, sum(n)::BIGINT AS rows_landed, count(*) AS pages_landed
-                   FROM pages WHERE NOT failed GROUP BY feed)
+        landed AS (SELECT feed, coalesce(sum(n) FILTER (WHERE NOT failed), 0)::BIGINT AS rows_landed,
+                          count(*) FILTER (WHERE NOT failed) AS pages_landed
+                   FROM pages GROUP BY feed),
+        known AS (SELECT feed, CASE WHEN pages_landed > 0 THEN total END AS total, rows_landed, pages_landed
+                  FROM landed JOIN totals USING (feed))
         SELECT feed::VARCHAR AS feed, total, rows_landed, pages_landed,
-               least(total // 50 + 1, 40) AS pages_expected, rows_landed = total AS rows_complete,
-               pages_landed = least(total // 50 + 1, 40) AS pages_complete
-        FROM landed JOIN totals USING (feed)""",
+               least(total // 50 + 1, 40) AS pages_expected,
+               coalesce(rows_landed = total, false) AS rows_complete,
+               coalesce(pages_landed = least(total // 50 + 1, 40), false) AS pages_complete
+        FROM known
+        UNION ALL
+        SELECT 'lost-' || feed, NULL, 0, 0, NULL, false, false
+        FROM pages WHERE feed % 11 = 0 AND page = 0 AND NOT failed""",
     "mention_filter": f"SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '{_MENTIONS}')",
     "lookup_ids": f"SELECT show_name, show_id FROM ({_SHOWS}) WHERE show_name = '{SHOW}'",
+    "joined_ids": f"""
+        SELECT show_name, string_agg(show_id, '' ORDER BY show_id) AS show_ids FROM ({_SHOWS}) GROUP BY show_name""",
     "podcast_shows": _SHOWS,
     "podcast_episodes": _EPISODES,
     "podcast_mentions": f"""

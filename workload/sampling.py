@@ -16,7 +16,17 @@ from workload.inputs import table
 
 
 def sample_bernoulli(spark, sf):
-    return sample_rows(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), 0.1, 7)
+    """What can be said of a draw that depends on the layout: its share (within six standard
+    errors), no row twice, none that is not in the table."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    drawn = sample_rows(orders, 0.1, 7)
+    known = orders.withColumn("known", F.lit(1))
+    total = F.lit(orders.count())
+    return drawn.join(known, ["o_orderkey", "o_custkey"], "left").agg(
+        (F.abs(F.count("*") - 0.1 * total) <= 6 * F.sqrt(0.09 * total)).alias("plausible_share"),
+        (F.count("*") == F.countDistinct("o_orderkey")).alias("no_row_twice"),
+        (F.count("*") == F.count("known")).alias("all_from_table"),
+    )
 
 
 def sample_by_hash(spark, sf):
@@ -57,6 +67,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "sample_bernoulli": "SELECT true AS plausible_share, true AS no_row_twice, true AS all_from_table",
     "sample_hash": """
         SELECT o_orderkey, o_custkey FROM orders
         WHERE ('0x' || substr(md5('7:' || o_orderkey), 1, 8))::BIGINT < floor(0.1::DOUBLE * 4294967296)""",
