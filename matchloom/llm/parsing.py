@@ -10,7 +10,7 @@ are the order of the corpus to that depth, and the parse need not be sorted for
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,11 +25,11 @@ _BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^
 
 class Bytes(repeats.Symbols):
     def __init__(self, text: bytes):
-        self._text = text
+        self.text = text
         self.values = _BYTES[np.frombuffer(text, dtype=np.uint8)]
 
     def cut(self, a: int, b: int) -> bytes:
-        return self._text[a:b]
+        return self.text[a:b]
 
 
 def suffix_runs(phrases: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +103,13 @@ def remove_repeated(
     gives no rows; extra columns are not looked at. ``limits`` are those of ``repeats.search``.
     """
 
-    def finish(doc: int | None, text: bytes, found: Callable[[bytes], Iterator]) -> tuple:
+    def finish(doc: int | None, symbols: Bytes, found: list[tuple[int, int, bytes]]) -> tuple:
+        text = symbols.text
+        if not found:
+            return doc, len(text), 0, 0, text
         place = (1 << 63) - 1 if doc is None else doc
         cover = np.zeros(len(text) + 1, dtype=np.int64)
-        for a, b, packed in found(text):
+        for a, b, packed in found:
             firsts = np.frombuffer(packed, dtype="<i8")
             starts = np.flatnonzero(np.broadcast_to(firsts, b - a) < place) + a
             cover[starts] += 1

@@ -144,7 +144,7 @@ def search(
     docs: DataFrame,
     windows: Windows,
     resolve: Callable[[list[tuple]], list[bytes | None]],
-    finish: Callable[[int | None, bytes, Callable[[int], Iterator[tuple[int, int, bytes]]]], tuple],
+    finish: Callable[[int | None, Symbols, list[tuple[int, int, bytes]]], tuple],
     schema: str,
     id_col: str,
     text_col: str,
@@ -154,8 +154,8 @@ def search(
     """Rows of ``schema`` that ``finish`` makes of every document.
 
     ``resolve`` gets whole key groups of rows (key, phrase, n, first, last) sorted by key and phrase and returns
-    what it found for each row, or None. ``finish`` gets id, text and a function that yields
-    (first window, last window + 1, found) of the text's phrases of which something was found.
+    what it found for each row, or None. ``finish`` gets the id, the text's symbols and a list of
+    (first window, last window + 1, found) of its phrases of which something was found.
     """
     rows = renamed(docs, id=id_col, text=text_col)
     chunks_wanted = pieces_of(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, chunk_bytes)
@@ -172,12 +172,11 @@ def search(
     total = F.sum("n").over(Window.partitionBy("trigger"))
     again = listed.withColumn("total", total).filter("total > 1").select("c", "trigger", "total")
 
-    def phrases_of(text: bytes, wanted: np.ndarray) -> Iterator[tuple[Symbols, int, int, int]]:
-        symbols = windows.read(text)
+    def phrases_of(symbols: Symbols, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
         bounds, triggers = windows.phrases(symbols.values)
         at = _of(wanted, triggers)
         for k in np.flatnonzero(at >= 0):
-            yield symbols, int(bounds[k]), int(bounds[k + 1]), int(at[k])
+            yield int(bounds[k]), int(bounds[k + 1]), int(at[k])
 
     def send_phrases(key: tuple, table: pa.Table, shared: pa.Table) -> pa.Table:
         order = np.argsort(shared.column("trigger").to_numpy().view(np.uint64))
@@ -185,8 +184,8 @@ def search(
         totals = shared.column("total").to_numpy()[order]
         seen: dict[tuple, list] = {}
         for doc, text in _documents(table):
-            place = _order(doc)
-            for symbols, a, b, at in phrases_of(text, wanted):
+            place, symbols = _order(doc), windows.read(text)
+            for a, b, at in phrases_of(symbols, wanted):
                 trigger, fine = int(wanted[at].view(np.int64)), bool(totals[at] > frequent)
                 spans = ((i, i + 1) for i in range(a, b)) if fine else ((a, b),)
                 for i, j in spans:
@@ -234,14 +233,15 @@ def search(
         wanted, first = np.unique(signed, return_index=True)
         fine = results.column("fine").to_numpy(zero_copy_only=False)[first]
 
-        def of(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-            for symbols, a, b, at in phrases_of(text, wanted):
+        def of(symbols: Symbols) -> Iterator[tuple[int, int, bytes]]:
+            for a, b, at in phrases_of(symbols, wanted) if len(wanted) else ():
                 for i, j in ((i, i + 1) for i in range(a, b)) if fine[at] else ((a, b),):
                     result = known.get(_digest(symbols.cut(i, j - 1 + windows.window)))
                     if result is not None:
                         yield i, j, result
 
-        return _table([finish(doc, text, of) for doc, text in _documents(table)], schema)
+        read = ((doc, windows.read(text)) for doc, text in _documents(table))
+        return _table([finish(doc, symbols, list(of(symbols))) for doc, symbols in read], schema)
 
     return chunks.groupBy("c").cogroup(found.groupBy("c")).applyInArrow(apply, schema)
 

@@ -6,7 +6,10 @@ string to the minimiser's bucket; there the windows of the strings are sorted an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable
+from functools import cached_property
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,31 +17,23 @@ from pyspark.sql import DataFrame
 from matchloom.llm import repeats
 
 WINDOW, MINIMISER = 35, 10
-_KNOWN_WORDS = 200_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= _KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return value
-
-
-_HASHES = _WordHashes()
 
 
 class Words(repeats.Symbols):
-    """Words without regard to the white space between them: single blanks join them here."""
+    """Words without regard to the white space between them: single blanks join them here. Words that share
+    a checksum may share a minimiser, no more: windows are compared by their bytes."""
 
     def __init__(self, text: bytes):
-        words = text.split()  # of bytes: at \x20 and \x09-\x0D
-        self.n = len(words)
-        self.joined = b" ".join(words)
-        self.values = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-        self._ends = np.cumsum([len(w) + 1 for w in words]) - 1 if words else np.empty(0, dtype=np.int64)
+        self.words = text.split()  # of bytes: at \x20 and \x09-\x0D
+        self.values = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
+
+    @cached_property
+    def joined(self) -> bytes:
+        return b" ".join(self.words)
+
+    @cached_property
+    def _ends(self) -> np.ndarray:
+        return np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
 
     def cut(self, a: int, b: int) -> bytes:
         return self.joined[int(self._ends[a - 1]) + 1 if a else 0 : int(self._ends[b - 1])]
@@ -108,15 +103,17 @@ def remove_repeated(
     gives no rows; extra columns are not looked at. ``limits`` are those of ``repeats.search``.
     """
 
-    def finish(doc: int | None, text: bytes, found: Callable[[bytes], Iterator]) -> tuple:
-        words = text.split()
+    def finish(doc: int | None, text: Words, found: list[tuple[int, int, bytes]]) -> tuple:
+        words = text.words
+        if not found:
+            return doc, len(words), 0, text.joined.decode("utf-8", "replace")
         cover = np.zeros(len(words) + 1, dtype=np.int64)
-        for a, b, marks in found(text):
-            for i in np.flatnonzero(np.frombuffer(marks, dtype=np.uint8)) + a:
-                cover[i] += 1
-                cover[i + window] -= 1
+        for a, _, marks in found:
+            starts = np.flatnonzero(np.frombuffer(marks, dtype=np.uint8)) + a
+            cover[starts] += 1
+            cover[starts + window] -= 1
         gone = np.cumsum(cover[:-1]) > 0
-        kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(words)
+        kept = b" ".join(compress(words, (~gone).tolist()))
         return doc, len(words), int(gone.sum()), kept.decode("utf-8", "replace")
 
     kind = repeats.Windows(window, minimiser, Words, per_document=False)
