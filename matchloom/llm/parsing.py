@@ -13,7 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from matchloom.llm import repeats
 
@@ -86,39 +89,121 @@ def _first_documents(depth: int) -> Callable[[list[tuple]], list[bytes | None]]:
     return resolve
 
 
+_LISTED = "trigger long, phrase long, c int, first long, last long"
+
+
+def phrase_hashes(windows: repeats.Windows, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each phrase's content: of the hashes of all strings that start in it and of their number."""
+    strings = repeats.rolling(values, windows.window)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(strings, dtype=np.uint64)])
+    a, b = bounds[:-1], bounds[1:]
+    sums = total[b] - total[a] + (b - a).astype(np.uint64)
+    mixed = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed ^ (mixed >> np.uint64(32))) + strings[a] * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _listed_phrases(chunks: DataFrame, shared: DataFrame, windows: repeats.Windows) -> DataFrame:
+    """The parse of each chunk, as far as its triggers are shared: each distinct phrase, by its hash, with the first
+    and last document that hold it."""
+
+    def parse(key: tuple, table: pa.Table, triggers: pa.Table) -> pa.Table:
+        wanted, _ = repeats.sorted_triggers(triggers)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for doc, text in repeats.documents(table) if len(wanted) else ():
+            values = windows.read(text).values
+            bounds, own = windows.phrases(values)
+            here = repeats.positions(wanted, own) >= 0
+            if here.any():
+                place = np.full(int(here.sum()), repeats.order_of(doc), dtype=np.int64)
+                found.append((own[here], phrase_hashes(windows, values, bounds)[here], place))
+        if not found:
+            return repeats.table_of([], _LISTED)
+        trigger, phrase, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((phrase, trigger))
+        trigger, phrase, place = trigger[order], phrase[order], place[order]
+        new = np.append(True, (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1]))
+        starts = np.flatnonzero(new)
+        return pa.table(
+            {
+                "trigger": trigger[starts].view(np.int64),
+                "phrase": phrase[starts].view(np.int64),
+                "c": np.full(len(starts), key[0].as_py(), dtype=np.int32),
+                "first": np.minimum.reduceat(place, starts),
+                "last": np.maximum.reduceat(place, starts),
+            }
+        )
+
+    return chunks.groupBy("c").cogroup(shared.groupBy("c")).applyInArrow(parse, _LISTED)
+
+
 def remove_repeated(
     docs: DataFrame,
     length: int = LENGTH,
     trigger: int = TRIGGER,
     id_col: str = "doc_id",
     text_col: str = "text",
-    **limits: int,
+    chunk_bytes: int = repeats.CHUNK_BYTES,
+    frequent: int = repeats.FREQUENT,
 ) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept`` of every whole text as UTF-8: what is left when each byte is
     taken out that is covered by a string of ``length`` bytes which also starts in a document with a smaller
     id. Matches never cross documents, overlap as they may, and are judged on the input.
 
+    The parse goes ahead of the dictionary: where all phrases of a trigger are one, by their 64-bit hash and
+    trigger, its first document is that of every string in it and no bytes are sent. Only the phrases of
+    triggers that have several go to the dictionary, and those of frequent triggers string by string.
+
     A null or empty text has no bytes; one shorter than ``length`` loses none; a row without an id comes
     after all others, and repeated rows or rows with one id are not before each other; an empty table
-    gives no rows; extra columns are not looked at. ``limits`` are those of ``repeats.search``.
+    gives no rows; extra columns are not looked at.
     """
+    windows = repeats.Windows(length, trigger, Bytes, per_document=True)
+    chunks = repeats.chunks_of(docs, id_col, text_col, chunk_bytes)
+    shared = repeats.shared_triggers(chunks, windows)
+    of_trigger, of_phrase = Window.partitionBy("trigger"), Window.partitionBy("trigger", "phrase")
+    listed = (
+        _listed_phrases(chunks, shared.filter(F.col("total") <= frequent), windows)
+        .withColumn("best", F.min("first").over(of_phrase))
+        .withColumn("several", F.min("phrase").over(of_trigger) != F.max("phrase").over(of_trigger))
+    )
+    alike = listed.filter("NOT several AND best < last").select("c", "phrase", "best")
+    several = listed.filter("several").select("c", "trigger", F.lit(2).cast("long").alias("total")).distinct()
+    sent = repeats.send_phrases(
+        chunks, several.unionByName(shared.filter(F.col("total") > frequent)), windows, frequent
+    )
+    found = repeats.compare_phrases(sent, _first_documents(length))
+    results = found.unionByName(alike, allowMissingColumns=True)
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
-    def finish(doc: int | None, symbols: Bytes, found: list[tuple[int, int, bytes]]) -> tuple:
-        text = symbols.text
-        if not found:
-            return doc, len(text), 0, 0, text
-        place = (1 << 63) - 1 if doc is None else doc
+    def finish(doc: int | None, text: bytes, alike: tuple, known: repeats.Known) -> tuple:
+        place, symbols = repeats.order_of(doc), Bytes(text)
         cover = np.zeros(len(text) + 1, dtype=np.int64)
-        for a, b, packed in found:
+        if len(alike[0]) and len(text) >= length:
+            bounds, _ = windows.phrases(symbols.values)
+            at = repeats.positions(alike[0], phrase_hashes(windows, symbols.values, bounds))
+            gone = np.flatnonzero((at >= 0) & (alike[1][at] < place))
+            np.add.at(cover, bounds[gone], 1)
+            np.subtract.at(cover, bounds[gone + 1] - 1 + length, 1)
+        for a, b, packed in known.of(symbols):
             firsts = np.frombuffer(packed, dtype="<i8")
             starts = np.flatnonzero(np.broadcast_to(firsts, b - a) < place) + a
             cover[starts] += 1
             cover[starts + length] -= 1
+        if not cover.any():
+            return doc, len(text), 0, 0, text
         gone = np.cumsum(cover[:-1]) > 0
         kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
         spans = int((np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1).sum())
         return doc, len(text), int(gone.sum()), spans, kept
 
-    kind = repeats.Windows(length, trigger, Bytes, per_document=True)
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return repeats.search(docs, kind, _first_documents(length), finish, schema, id_col, text_col, **limits)
+    def apply(key: tuple, table: pa.Table, results: pa.Table) -> pa.Table:
+        listed = pc.is_valid(results.column("best"))
+        known = repeats.Known(windows, results.filter(pc.invert(listed)))
+        alike = results.filter(listed)
+        phrases = alike.column("phrase").to_numpy().view(np.uint64)
+        order = np.argsort(phrases)
+        of = phrases[order], alike.column("best").to_numpy()[order]
+        rows = [finish(doc, text, of, known) for doc, text in repeats.documents(table)]
+        return repeats.table_of(rows, schema)
+
+    return chunks.groupBy("c").cogroup(results.groupBy("c")).applyInArrow(apply, schema)

@@ -110,7 +110,7 @@ class Windows:
         return np.unique(found) if self.per_document else found
 
 
-def _documents(table: pa.Table) -> Iterator[tuple[int | None, bytes]]:
+def documents(table: pa.Table) -> Iterator[tuple[int | None, bytes]]:
     texts = table.column("text").cast(pa.binary())
     for key, text in zip(table.column("id").to_pylist(), texts, strict=True):
         yield key, text.as_py() or b""
@@ -128,64 +128,66 @@ def _fine_key(phrase: bytes) -> int:
     return xxhash.xxh64_intdigest(phrase) - (1 << 63)
 
 
-def _order(key: int | None) -> int:
+def order_of(key: int | None) -> int:
     """The place of an id in the order of documents; one without an id comes after all others."""
     return (1 << 63) - 1 if key is None else key
 
 
-def _of(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def positions(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Positions of ``wanted`` in ``sorted_values``, -1 where it is not there."""
     at = np.searchsorted(sorted_values, wanted)
     at[at == len(sorted_values)] = 0
     return np.where(sorted_values[at] == wanted, at, -1) if len(sorted_values) else np.full(len(wanted), -1)
 
 
-def search(
-    docs: DataFrame,
-    windows: Windows,
-    resolve: Callable[[list[tuple]], list[bytes | None]],
-    finish: Callable[[int | None, Symbols, list[tuple[int, int, bytes]]], tuple],
-    schema: str,
-    id_col: str,
-    text_col: str,
-    chunk_bytes: int = CHUNK_BYTES,
-    frequent: int = FREQUENT,
-) -> DataFrame:
-    """Rows of ``schema`` that ``finish`` makes of every document.
-
-    ``resolve`` gets whole key groups of rows (key, phrase, n, first, last) sorted by key and phrase and returns
-    what it found for each row, or None. ``finish`` gets the id, the text's symbols and a list of
-    (first window, last window + 1, found) of its phrases of which something was found.
-    """
+def chunks_of(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+    """``id, text, c``: the documents dealt to chunks ``c`` by a hash of id and text."""
     rows = renamed(docs, id=id_col, text=text_col)
-    chunks_wanted = pieces_of(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, chunk_bytes)
-    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(chunks_wanted)).cast("int")
-    chunks = rows.select(F.col("id").cast("long").alias("id"), "text", chunk.alias("c")).repartition("c")
+    wanted = pieces_of(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, chunk_bytes)
+    chunk = F.pmod(F.xxhash64("id", "text"), F.lit(wanted)).cast("int")
+    return rows.select(F.col("id").cast("long").alias("id"), "text", chunk.alias("c")).repartition("c")
+
+
+def shared_triggers(chunks: DataFrame, windows: Windows) -> DataFrame:
+    """``c, trigger, total``: the triggers of each chunk that stand in more than one place (or document)."""
 
     def list_triggers(key: tuple, table: pa.Table) -> pa.Table:
-        found = [windows.triggers(windows.read(text).values) for _, text in _documents(table)]
+        found = [windows.triggers(windows.read(text).values) for _, text in documents(table)]
         values, counts = np.unique(np.concatenate(found), return_counts=True)
         c = np.full(len(values), key[0].as_py(), dtype=np.int32)
         return pa.table({"trigger": values.view(np.int64), "c": c, "n": counts.astype(np.int64)})
 
     listed = chunks.groupBy("c").applyInArrow(list_triggers, "trigger long, c int, n long")
     total = F.sum("n").over(Window.partitionBy("trigger"))
-    again = listed.withColumn("total", total).filter("total > 1").select("c", "trigger", "total")
-
-    def phrases_of(symbols: Symbols, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        bounds, triggers = windows.phrases(symbols.values)
-        at = _of(wanted, triggers)
-        for k in np.flatnonzero(at >= 0):
-            yield int(bounds[k]), int(bounds[k + 1]), int(at[k])
-
-    def send_phrases(key: tuple, table: pa.Table, shared: pa.Table) -> pa.Table:
-        order = np.argsort(shared.column("trigger").to_numpy().view(np.uint64))
-        wanted = shared.column("trigger").to_numpy().view(np.uint64)[order]
-        totals = shared.column("total").to_numpy()[order]
+    return listed.withColumn("total", total).filter("total > 1").select("c", "trigger", "total")
+
+
+def sorted_triggers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The triggers of a chunk in order, and the positions that order them."""
+    triggers = table.column("trigger").to_numpy().view(np.uint64)
+    order = np.argsort(triggers)
+    return triggers[order], order
+
+
+def phrases_of(windows: Windows, symbols: Symbols, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """First window, last window + 1 and position in ``wanted`` of the phrases whose trigger is there."""
+    bounds, triggers = windows.phrases(symbols.values)
+    at = positions(wanted, triggers)
+    for k in np.flatnonzero(at >= 0):
+        yield int(bounds[k]), int(bounds[k + 1]), int(at[k])
+
+
+def send_phrases(chunks: DataFrame, shared: DataFrame, windows: Windows, frequent: int) -> DataFrame:
+    """The phrases of the triggers in ``shared`` (c, trigger, total), each distinct one of a chunk once, with how
+    often it is there and in which first and last document; of a frequent trigger, its windows one by one."""
+
+    def send(key: tuple, table: pa.Table, triggers: pa.Table) -> pa.Table:
+        wanted, order = sorted_triggers(triggers)
+        totals = triggers.column("total").to_numpy()[order]
         seen: dict[tuple, list] = {}
-        for doc, text in _documents(table):
-            place, symbols = _order(doc), windows.read(text)
-            for a, b, at in phrases_of(symbols, wanted):
+        for doc, text in documents(table) if len(wanted) else ():
+            place, symbols = order_of(doc), windows.read(text)
+            for a, b, at in phrases_of(windows, symbols, wanted):
                 trigger, fine = int(wanted[at].view(np.int64)), bool(totals[at] > frequent)
                 spans = ((i, i + 1) for i in range(a, b)) if fine else ((a, b),)
                 for i, j in spans:
@@ -196,10 +198,14 @@ def search(
                     else:
                         known[0] += 1
                         known[1], known[2] = min(known[1], place), max(known[2], place)
-        made = [(*k, key[0].as_py(), *v) for k, v in seen.items()]
-        return _table(made, _PHRASES)
+        return table_of([(*k, key[0].as_py(), *v) for k, v in seen.items()], _PHRASES)
+
+    return chunks.groupBy("c").cogroup(shared.groupBy("c")).applyInArrow(send, _PHRASES)
+
 
-    sent = chunks.groupBy("c").cogroup(again.groupBy("c")).applyInArrow(send_phrases, _PHRASES)
+def compare_phrases(sent: DataFrame, resolve: Callable[[list[tuple]], list[bytes | None]]) -> DataFrame:
+    """What ``resolve`` finds for whole key groups of rows (key, phrase, n, first, last), sorted by key and phrase;
+    rows for which it returns None are left out."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -211,7 +217,7 @@ def search(
                 for r, x in zip(group, found, strict=True)
                 if x is not None
             ]
-            return _table(made, _FOUND).to_batches()
+            return table_of(made, _FOUND).to_batches()
 
         for batch in batches:
             held += batch.to_pylist()
@@ -225,31 +231,60 @@ def search(
         if held:
             yield from ready(held)
 
-    found = sent.repartition("key").sortWithinPartitions("key", "phrase").mapInArrow(compare, _FOUND)
+    return sent.repartition("key").sortWithinPartitions("key", "phrase").mapInArrow(compare, _FOUND)
 
-    def apply(key: tuple, table: pa.Table, results: pa.Table) -> pa.Table:
-        known = {r["digest"]: r["found"] for r in results.select(["digest", "found"]).to_pylist()}
-        signed = results.column("trigger").to_numpy().view(np.uint64)
-        wanted, first = np.unique(signed, return_index=True)
-        fine = results.column("fine").to_numpy(zero_copy_only=False)[first]
 
-        def of(symbols: Symbols) -> Iterator[tuple[int, int, bytes]]:
-            for a, b, at in phrases_of(symbols, wanted) if len(wanted) else ():
-                for i, j in ((i, i + 1) for i in range(a, b)) if fine[at] else ((a, b),):
-                    result = known.get(_digest(symbols.cut(i, j - 1 + windows.window)))
-                    if result is not None:
-                        yield i, j, result
+class Known:
+    """What was found of a chunk's phrases."""
+
+    def __init__(self, windows: Windows, results: pa.Table):
+        self._windows = windows
+        rows = results.select(["digest", "found"]).to_pylist()
+        self._found = {r["digest"]: r["found"] for r in rows}
+        triggers = results.column("trigger").to_numpy().view(np.uint64)
+        self._wanted, first = np.unique(triggers, return_index=True)
+        self._fine = results.column("fine").to_numpy(zero_copy_only=False)[first]
+
+    def of(self, symbols: Symbols) -> list[tuple[int, int, bytes]]:
+        """(first window, last window + 1, found) of the text's phrases of which something was found."""
+        out, window = [], self._windows.window
+        for a, b, at in phrases_of(self._windows, symbols, self._wanted) if len(self._wanted) else ():
+            for i, j in ((i, i + 1) for i in range(a, b)) if self._fine[at] else ((a, b),):
+                result = self._found.get(_digest(symbols.cut(i, j - 1 + window)))
+                if result is not None:
+                    out.append((i, j, result))
+        return out
+
+
+def search(
+    docs: DataFrame,
+    windows: Windows,
+    resolve: Callable[[list[tuple]], list[bytes | None]],
+    finish: Callable[[int | None, Symbols, list[tuple[int, int, bytes]]], tuple],
+    schema: str,
+    id_col: str,
+    text_col: str,
+    chunk_bytes: int = CHUNK_BYTES,
+    frequent: int = FREQUENT,
+) -> DataFrame:
+    """Rows of ``schema`` that ``finish`` makes of every document: of its id, its symbols and what
+    ``resolve`` found of its phrases, as ``Known.of`` lists it."""
+    chunks = chunks_of(docs, id_col, text_col, chunk_bytes)
+    sent = send_phrases(chunks, shared_triggers(chunks, windows), windows, frequent)
 
-        read = ((doc, windows.read(text)) for doc, text in _documents(table))
-        return _table([finish(doc, symbols, list(of(symbols))) for doc, symbols in read], schema)
+    def apply(key: tuple, table: pa.Table, results: pa.Table) -> pa.Table:
+        known = Known(windows, results)
+        read = ((doc, windows.read(text)) for doc, text in documents(table))
+        return table_of([finish(doc, symbols, known.of(symbols)) for doc, symbols in read], schema)
 
+    found = compare_phrases(sent, resolve)
     return chunks.groupBy("c").cogroup(found.groupBy("c")).applyInArrow(apply, schema)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
 
 
-def _table(rows: list[tuple], schema: str) -> pa.Table:
+def table_of(rows: list[tuple], schema: str) -> pa.Table:
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
     return pa.table({name: pa.array(c, _TYPES[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
