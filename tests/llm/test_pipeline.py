@@ -86,4 +86,6 @@ def test_sequences_hold_the_mix(kept):
 
 
 def test_run_gives_the_last_stage(spark, sf_dir, kept):
-    assert corpus_pipeline.run(spark, sf_dir).count() == kept[-1].count()
+    """Which pieces there are depends on how the rows are split over files, not which tokens."""
+    whole = lambda df: sorted(tuple(r) for r in df.groupBy("doc_id").agg({"length": "sum"}).collect())
+    assert whole(corpus_pipeline.run(spark, sf_dir)) == whole(kept[-1])
