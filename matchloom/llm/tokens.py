@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -15,6 +17,8 @@ CACHED_WORDS = 400_000
 TOKENS_SCHEMA = "id long, ids binary, tokens long"
 # Up to here every letter is composed and has one lower-case form, whatever stands beside it.
 _PLAIN = "ɐ"
+# The units of the tokenizer's pre-tokenizer, for lower-case ASCII without blanks.
+_UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -25,12 +29,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
 
 
+def _ends_in_letter(core: str) -> bool:
+    """Whether a letter or a number is last after normalising: some letters become one with a mark behind it."""
+    return unicodedata.normalize("NFC", core).lower()[-1].isalnum()
+
+
 class WordIds(dict):
     """The ids of a word as little-endian unsigned 32-bit numbers.
 
     For a tokenizer that drops white space and looks at each word alone, the ids of a text are those of
-    its blank-separated pieces one after the other. Pieces are looked up in a bounded cache; a new
-    one of plain letters goes to the vocabulary model directly, any other through the whole tokenizer.
+    its blank-separated pieces one after the other. Pieces are looked up in a bounded cache. A new one of
+    printable ASCII is cut into the units of the pre-tokenizer, which go to the vocabulary model directly;
+    of any other, trailing stops and commas are cut off where a letter or a number stands before them (a run
+    of other marks is one unit), and what is not of plain letters goes through the whole tokenizer.
     """
 
     def __init__(self, tokenizer):
@@ -38,22 +49,31 @@ class WordIds(dict):
         self._tokenizer, self._model, self._letters = tokenizer, tokenizer.model, _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(".,")
-        if core and len(core) < len(word):
+        if word.isascii():
+            made = self._ascii(word)
+        elif (core := word.rstrip(".,")) != word and _ends_in_letter(core):
             return self[core] + self[word[len(core) :]]
-        if not core.isalpha() or not (core.isascii() or (max(core) < _PLAIN and "İ" not in core)):
+        elif not word.isalpha() or max(word) >= _PLAIN or "İ" in word:
             made = self._whole(word)
-        elif (lower := core.lower()) != core:
+        elif (lower := word.lower()) != word:
             return self[lower]
         else:
-            spelt = core if core.isascii() else core.encode().decode("latin-1").translate(self._letters)
-            ids = [t.id for t in self._model.tokenize(spelt)]
-            made = struct.pack(f"<{len(ids)}I", *ids)
+            made = self._unit(word.encode().decode("latin-1").translate(self._letters))
         if len(self) >= CACHED_WORDS:
             self.clear()
         self[word] = made
         return made
 
+    def _ascii(self, word: str) -> bytes:
+        if not word.isprintable():
+            return self._whole(word)
+        units = _UNITS.findall(word.lower())
+        return self._unit(units[0]) if units == [word] else b"".join(map(self.__getitem__, units))
+
+    def _unit(self, spelt: str) -> bytes:
+        ids = [t.id for t in self._model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _whole(self, piece: str) -> bytes:
         ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)

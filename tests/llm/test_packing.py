@@ -58,6 +58,16 @@ def test_cached_words_give_the_tokenizers_ids(text, plain):
         assert np.frombuffer(words.text(text), dtype="<u4").tolist() == plain(text)
 
 
+@pytest.mark.parametrize(
+    "text", ["word).", 'word",', "100%.", "x!.", "?!...", "foo(bar),", "“é”.", "é).", "İ.", "क़.", "٣.", "a''s x'Re.", "a\x00b."]
+)
+def test_runs_of_marks_are_one_unit(text, plain):
+    with open(PATH, encoding="utf-8") as f:
+        words = word_tokenizer(f.read())
+    for _ in range(2):
+        assert np.frombuffer(words.text(text), dtype="<u4").tolist() == plain(text)
+
+
 def test_conversations_keep_all_three_limits_uncut(spark, sf_dir):
     """Instruction data: a turn of the assistant bears loss, the turns before it do not."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr(
