@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import exact, mixing, packing, queries, simhash, tokens, toxicity
+from matchloom.llm.common import with_row
 from matchloom.session import materialise
 
 
@@ -30,7 +31,9 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies of documents that the mix takes, in training order."""
-    return mixing.curriculum(docs, mixing.mix(docs, queries.CURRICULUM, share=1.5, max_epochs=2.0))
+    rows = with_row(docs, "_row")
+    mix = mixing.mix(rows, queries.CURRICULUM, share=1.5, max_epochs=2.0, row_col="_row")
+    return mixing.curriculum(rows, mix, row_col="_row")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

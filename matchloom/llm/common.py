@@ -25,6 +25,11 @@ def renamed(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
 
 
+def with_row(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a key of each row in ``name``, written once, so that all who read it see the same keys."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def pieces_of(rows: int, each: int) -> int:
     """Partitions of about ``each`` rows; at least one."""
     return max(1, -(-rows // each))

@@ -86,9 +86,11 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``, range-sorted by its first training position:
-    ``id, source, size, source_size, target, taken, positions``.
+    ``id, source, size, source_size, target, taken, positions``, and first
+    ``row``, the key of the row, if ``row_col`` names one.
 
     ``choices`` are weight schedules, knots ``(time, weight)`` joined by straight lines; the sources,
     in code-point order with null last, take them in turn. A source's documents form a stream ordered by
@@ -101,8 +103,9 @@ def mix(
     size 0, are never taken and have no position. Repeated rows are documents of their own. A source
     without words has target 0. Empty table: no rows. Other columns are not looked at.
     """
-    given = renamed(docs, id=id_col, text=text_col, source=source_col).select(
-        "id", "source", word_count("text").alias("size"), F.xxhash64("id", "text").alias("_h")
+    key = {"row": row_col} if row_col else {}
+    given = renamed(docs, id=id_col, text=text_col, source=source_col, **key).select(
+        *key, "id", "source", word_count("text").alias("size"), F.xxhash64("id", "text").alias("_h")
     )
     sized = materialise(given, "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
@@ -121,7 +124,8 @@ def mix(
         F.col("source").alias("_bs"), F.col("_bucket").alias("_bb"),
         F.expr("sum(_sum) OVER (PARTITION BY source ORDER BY _bucket) - _sum").alias("_before"),
     )
-    run = F.expr("sum(size) OVER (PARTITION BY source, _bucket ORDER BY _h, id, size ROWS UNBOUNDED PRECEDING) - size")
+    order = ", ".join(["_h", "id", "size", *key])
+    run = F.expr(f"sum(size) OVER (PARTITION BY source, _bucket ORDER BY {order} ROWS UNBOUNDED PRECEDING) - size")
     rows = (
         sized.withColumn("_bucket", bucket)
         .withColumn("_run", run)
@@ -138,20 +142,33 @@ def mix(
     return (
         rows.withColumn("taken", taken.cast("long"))
         .withColumn("positions", positions)
-        .select("id", "source", "size", "source_size", "target", "taken", "positions")
+        .select(*key, "id", "source", "size", "source_size", "target", "taken", "positions")
         .repartitionByRange(F.get("positions", F.lit(0)).asc_nulls_last(), "id")
         .sortWithinPartitions(F.get("positions", F.lit(0)).asc_nulls_last(), "id")
     )
 
 
 def curriculum(
-    docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars"
+    docs: DataFrame,
+    mixed: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size_col: str | None = "n_chars",
+    row_col: str | None = None,
 ) -> DataFrame:
     """The documents as they are trained on: each copy that ``mixed`` takes, sorted by position, with
-    the columns of ``docs``. A copy read in part keeps its first words, joined by one blank, and
-    ``size_col`` its new length. Rows alike in id are told apart by nothing, so ids must not repeat."""
+    the columns of ``docs`` but ``row_col``. A copy read in part keeps its first words, joined by one blank, and
+    ``size_col`` its new length.
+
+    Rows meet their copies by ``row_col``, the key that ``mix`` was given (``common.with_row`` makes one), so ids
+    may be null or repeat. Without it they meet by id, and ids that are null or repeat are an error."""
+    if row_col is None:
+        ids = mixed.groupBy("id").agg(F.count("*").alias("n"))
+        if not ids.filter(F.col("id").isNull() | (F.col("n") > 1)).isEmpty():
+            raise ValueError("ids that are null or repeat need a row_col")
+    key = "id" if row_col is None else "row"
     copies = mixed.select(
-        F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"),
+        F.col(key).alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"),
         F.posexplode("positions").alias("_epoch", "_position"),
     )
     words = F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size"))
@@ -163,11 +180,12 @@ def curriculum(
         whole = F.col(f"`{size_col}`")
         length = F.length(F.col(f"`{text_col}`")).cast("long")
         changed[size_col] = F.when(F.col("_words") < F.col("_size"), length).otherwise(whole)
-    rows = docs.join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))).withColumn("_words", words)
+    own = F.col(f"`{row_col or id_col}`")
+    rows = docs.join(copies, own == F.col("_key")).withColumn("_words", words)
     for name, value in changed.items():
         rows = rows.withColumn(name, value)
     return (
-        rows.repartitionByRange("_position", f"`{id_col}`")
-        .sortWithinPartitions("_position", f"`{id_col}`", "_epoch")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        rows.repartitionByRange("_position", f"`{id_col}`", "_key")
+        .sortWithinPartitions("_position", f"`{id_col}`", "_key", "_epoch")
+        .select(*[F.col(f"`{c}`") for c in docs.columns if c != row_col])
     )

@@ -1,9 +1,11 @@
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 import pytest
 
 from matchloom.llm import mixing, queries
+from matchloom.llm.common import with_row
 
 
 def water_filled(sizes, weights, share, cap):
@@ -81,3 +83,32 @@ def test_copies_and_cut_texts(spark):
     assert {r.id: r.taken for r in mixed.collect()} == {1: 3, 2: 3, 3: 0}
     got = sorted((r.doc_id, r.text, r.n_chars) for r in mixing.curriculum(df, mixed).collect())
     assert got == [(1, "one two three", 13), (2, "x", 1), (2, "x y", 3)]
+
+
+def test_odd_rows_meet_their_own_copies(spark, odd, empty):
+    """Null and repeated ids: every copy has its own row's text, cut at its own row's words."""
+    more = [(None, f"w{k} " * 7 + "end", "en", "a", 30, str(k), k) for k in range(40)]
+    docs = odd.unionByName(spark.createDataFrame(more, odd.schema))
+    rows = with_row(docs, "_row")
+    mixed = mixing.mix(rows, queries.CURRICULUM, 1.5, 2.0, row_col="_row")
+    check(mixed.collect(), [(r.source, r.text) for r in docs.collect()])
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    texts, want = {r["_row"]: r.text for r in rows.collect()}, []
+    for r in mixed.collect():
+        own = words(texts[r.row])
+        want += [(r.id, r.source, own[: min(r.size, r.taken - e * r.size)]) for e in range(len(r.positions))]
+    made = mixing.curriculum(rows, mixed, row_col="_row")
+    assert made.columns == docs.columns
+    got = [(r.doc_id, r.source, words(r.text)) for r in made.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    with pytest.raises(ValueError, match="row_col"):
+        mixing.curriculum(docs, mixing.mix(docs, queries.CURRICULUM, 1.5, 2.0))
+    assert corpus_pipeline.mixed(spark, empty, "").collect() == []
+
+
+def test_copies_do_not_grow_with_the_square_of_null_ids(spark):
+    docs = spark.createDataFrame(
+        [(None, f"w{k} " * 10, "a", 30) for k in range(60)], "doc_id long, text string, source string, n_chars long"
+    )
+    copies = corpus_pipeline.mixed(spark, docs, "").collect()
+    assert len(copies) == 90 and len({r.text for r in copies}) == 60
