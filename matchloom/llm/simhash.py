@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import renamed
+from matchloom.llm.common import renamed, with_row
 from matchloom.llm.components import components
 from matchloom.session import materialise
 
@@ -44,18 +44,22 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", **more: str
+) -> DataFrame:
     """``id, fp`` of every whole text; ``fp`` is the 64-bit fingerprint as a signed number. A null text
     is an empty one; a text without words has fingerprint zero, one with fewer words than a shingle
-    that of all its words."""
+    that of all its words. ``more`` are whole-number columns to go along, as ``new=old``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            columns = [batch.column(0).cast(pa.int64()), pa.array(made.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "fp"])
+            along = [batch.column(2 + k).cast(pa.int64()) for k in range(len(more))]
+            columns = [batch.column(0).cast(pa.int64()), pa.array(made.view(np.int64)), *along]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", *more])
 
-    return renamed(docs, id=id_col, text=text_col).mapInArrow(run, "id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ["id", "fp", *more])
+    return renamed(docs, id=id_col, text=text_col, **more).mapInArrow(run, schema)
 
 
 class BkTree:
@@ -191,6 +195,15 @@ def links(fps: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> DataFrame:
     return out
 
 
+def _rooted(rows: DataFrame, radius: int, first: Column) -> DataFrame:
+    """``fp, first, root`` of every distinct fingerprint of ``rows``, ``first`` aggregated over its rows."""
+    classes = materialise(rows.groupBy("fp").agg(first.alias("first")), "classes")
+    roots = materialise(components(links(classes.select("fp"), radius)), "roots")
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_groups(
     docs: DataFrame, shingle: int, radius: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -203,11 +216,7 @@ def near_groups(
     columns are not looked at.
     """
     rows = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    roots = materialise(components(links(classes.select("fp"), radius)), "roots")
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(rows, radius, F.min("id"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     known = rooted.join(least, "root").select("fp", "component")
     return rows.join(known, "fp").select("id", "fp", "component")
@@ -216,17 +225,12 @@ def near_groups(
 def keep_one(
     docs: DataFrame, shingle: int, radius: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` with the least id of their component, with all their columns; rows alike in
-    that id (only repeated rows are) leave one, the first by a hash of all columns. Rows without
-    an id in a component of such rows alone all stay: nothing tells which of them to name."""
-    groups = near_groups(docs, shingle, radius, id_col, text_col)
-    kept = groups.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_kept")).distinct()
-    key = F.col(f"`{id_col}`")
+    """One row of ``docs`` per component, with all its columns: the one with the least id, null last, of
+    rows alike in id the first by a hash of all columns. Rows are told apart by a key of their own, so ids may be
+    null or repeat: each component leaves exactly one row."""
     names = [F.col(f"`{c}`") for c in docs.columns]
-    same = Window.partitionBy(key).orderBy(F.xxhash64(*names))
-    return (
-        docs.join(kept, key.eqNullSafe(F.col("_kept")), "left_semi")
-        .withColumn("_copy", F.when(key.isNull(), F.lit(1)).otherwise(F.row_number().over(same)))
-        .filter("_copy = 1")
-        .select(*names)
-    )
+    keyed = with_row(docs.withColumn("_hash", F.xxhash64(*names)), "_row")
+    prints = materialise(fingerprints(keyed, shingle, id_col, text_col, hash="_hash", row="_row"), "fingerprints")
+    rooted = _rooted(prints, radius, F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "row")))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return keyed.join(kept, "_row", "left_semi").select(*names)

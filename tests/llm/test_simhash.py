@@ -75,3 +75,12 @@ def test_odd_rows(odd, empty):
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 6, 7]
     assert simhash.near_groups(empty, 3, 3).collect() == simhash.keep_one(empty, 3, 3).collect() == []
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    """Unrelated texts under one id both stay; of components without ids, or with some, one row each."""
+    a, b, c, d = ("".join(f"{p}{k} " for k in range(40)) for p in "abcd")
+    rows = [(1, a), (1, b), (1, b), (None, c), (None, c), (None, a), (None, d), (2, d), (3, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs, 3, 3).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (1, b), (None, c), (2, d)], key=repr)
