@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import exact, mixing, multiset, packing, parsing, secrets, simhash, tokens, toxicity, warc, windows
+from matchloom.llm import (
+    audit,
+    divergence,
+    exact,
+    mixing,
+    multiset,
+    packing,
+    parsing,
+    secrets,
+    simhash,
+    tokens,
+    toxicity,
+    twins,
+    vantage,
+    warc,
+    windows,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +128,26 @@ def op9_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = divergence.quality_rules(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
+def op12_vantage_point_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vantage.clusters(_table(spark, sf_dir, "embeddings"))
+    return rows.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"),
+    )
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_seekable_warc": op1_seekable_warc,
     "op2_curriculum_mix": op2_curriculum_mix,
@@ -123,6 +159,9 @@ QUERIES = {
     "op8_secret_ownership": op8_secret_ownership,
     "op9_super_kmers": op9_super_kmers,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_distribution_divergence": op11_distribution_divergence,
+    "op12_vantage_point_clusters": op12_vantage_point_clusters,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
 
 ORACLE = {
@@ -150,4 +189,7 @@ ORACLE = {
             FROM texts
         )
         SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ranked""",
+    "op11_distribution_divergence": twins.QUALITY,
+    "op12_vantage_point_clusters": twins.CLUSTERS,
+    "op13_filter_interaction_audit": twins.AUDIT,
 }
