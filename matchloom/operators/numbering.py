@@ -1,0 +1,32 @@
+"""Numbers of rows by their place, without one task that sees them all."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from matchloom.session import materialise
+
+
+
+def number_rows(df: DataFrame, name: str, order: list[Column] | None = None) -> DataFrame:
+    """``df`` with the place of each row, from 0, in ``name``: the place in ``order`` if given (range-sorted; ties
+    in any order), else that in the partitions of ``df`` one behind the other.
+
+    The rows are written once with their place in their own partition, which fixes them; then only the number
+    of rows of each written partition passes the driver, and every row adds what lies before its own.
+    """
+    if name in df.columns:
+        raise ValueError(f"there is a column {name!r} already")
+    placed = (df.sort(*order) if order else df).withColumn(name, F.monotonically_increasing_id())
+    rows = materialise(placed, "numbered")
+    part = F.shiftright(name, 33)
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
+    before, shift = 0, {}
+    for part_number, n in sorted(map(tuple, counts)):
+        # What turns the written number into the place: both are part * 2**33 + local and before + local.
+        shift[part_number] = before - (part_number << 33)
+        before += n
+    table = df.sparkSession.createDataFrame(sorted(shift.items()), "`_part` bigint, `_shift` bigint")
+    joined = rows.join(F.broadcast(table), part == F.col("_part"))
+    return joined.select(*df.columns, (F.col(name) + F.col("_shift")).alias(name))
