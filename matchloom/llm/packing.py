@@ -7,15 +7,19 @@ point most in the direction of what is left.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm import tokens
+from matchloom.llm.common import renamed
+
 POOL = 1024
 PIECES_SCHEMA = (
     "id long, start long, length long, ids binary, doc_tokens long, loss long, sequence_id long, offset long"
@@ -175,6 +179,40 @@ def pack(
     """
     loss = F.col("tokens") if loss_col is None else F.coalesce(F.col(f"`{loss_col}`").cast("long"), F.lit(0))
     slim = examples.select("id", "ids", "tokens", F.least(loss, "tokens").alias("loss")).filter("tokens > 0")
+    return slim.mapInArrow(_packing(limits, cut, pool), PIECES_SCHEMA)
+
+
+def pack_documents(
+    docs: DataFrame,
+    tokenizer_path: str,
+    end_id: int | None,
+    limits: Limits = Limits(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    pool: int = POOL,
+) -> DataFrame:
+    """``pack`` of the whole texts of ``docs``, as ``tokens.tokenized`` turns them into ids, all bearing loss and cut where
+    that fills a sequence. A task tokenizes and packs in one Python worker, so no ids go back and forth, and it drops
+    the words it knows at its end.
+
+    Null and empty texts are ``end_id`` alone; the rest is as for ``tokenized`` and ``pack``.
+    """
+    encode, packed = tokens.encoder(tokenizer_path, end_id), _packing(limits, True, pool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def examples() -> Iterator[pa.RecordBatch]:
+            for batch in encode(batches):
+                key, ids, n = batch.columns
+                some = pc.greater(n, 0)
+                yield pa.RecordBatch.from_arrays([key, ids, n, n], ["id", "ids", "tokens", "loss"]).filter(some)
+
+        return packed(examples())
+
+    return renamed(docs, id=id_col, text=text_col).mapInArrow(run, PIECES_SCHEMA)
+
+
+def _packing(limits: Limits, cut: bool, pool: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs a stream of batches ``id, ids, tokens, loss`` into pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, sequence_id = Packer(limits, cut, pool), TaskContext.get().partitionId() << 33
@@ -191,9 +229,9 @@ def pack(
 
         for batch in batches:
             for k in range(batch.num_rows):
-                key, ids, tokens, bearing = (batch.column(c)[k] for c in range(4))
+                key, ids, n, bearing = (batch.column(c)[k] for c in range(4))
                 view = memoryview(ids.as_py())
-                made(packer.add(Piece(key.as_py(), 0, tokens.as_py(), bearing.as_py(), view, tokens.as_py())))
+                made(packer.add(Piece(key.as_py(), 0, n.as_py(), bearing.as_py(), view, n.as_py())))
                 if len(rows) >= 2000:
                     yield _batch(rows)
                     rows = []
@@ -201,7 +239,7 @@ def pack(
         if rows:
             yield _batch(rows)
 
-    return slim.mapInArrow(run, PIECES_SCHEMA)
+    return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -15,7 +15,6 @@ from matchloom.llm import (
     parsing,
     secrets,
     simhash,
-    tokens,
     toxicity,
     twins,
     vantage,
@@ -51,7 +50,7 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SEQUENCE = packing.Limits(tokens=4096, segments=4096, loss_tokens=4096)
+SEQUENCE = packing.Limits(tokens=4096, segments=64, loss_tokens=4096)
 END_ID = 2
 
 
@@ -59,7 +58,7 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    pieces = packing.pack(tokens.tokenized(_table(spark, sf_dir, "documents"), path, END_ID), SEQUENCE)
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), path, END_ID, SEQUENCE)
     return pieces.select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset",

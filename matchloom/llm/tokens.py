@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from matchloom.llm.common import renamed
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 TOKENS_SCHEMA = "id long, ids binary, tokens long"
 # Up to here every letter is composed and has one lower-case form, whatever stands beside it.
 _PLAIN = "ɐ"
@@ -49,7 +49,9 @@ class WordIds(dict):
         self._tokenizer, self._model, self._letters = tokenizer, tokenizer.model, _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii():
+        if "<|" in word:  # perhaps a special token, which has an id of its own
+            made = self._whole(word)
+        elif word.isascii():
             made = self._ascii(word)
         elif (core := word.rstrip(".,")) != word and _ends_in_letter(core):
             return self[core] + self[word[len(core) :]]
@@ -85,12 +87,10 @@ class WordIds(dict):
 
 @lru_cache(maxsize=1)
 def word_tokenizer(file_text: str) -> WordIds:
-    """Kept by the worker process, so that its later tasks find the tokenizer loaded and its words known."""
+    """Kept by the worker process, so that its later tasks find the tokenizer loaded."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(file_text)
-    tokenizer.encode_special_tokens = True
-    return WordIds(tokenizer)
+    return WordIds(Tokenizer.from_str(file_text))
 
 
 def tokenized(
@@ -100,23 +100,31 @@ def tokenized(
     by ``end_id`` if given. The tokenizer's file is read by the caller's process and travels with the task.
 
     A null text is an empty one (its ids are ``end_id`` alone); ids may be null or repeat; extra columns
-    are not looked at; an empty table gives no rows. Strings of special tokens in a text are ordinary text.
+    are not looked at; an empty table gives no rows. The string of a special token in a text is that token.
     """
+    return renamed(docs, id=id_col, text=text_col).mapInArrow(encoder(tokenizer_path, end_id), TOKENS_SCHEMA)
+
+
+def encoder(
+    tokenizer_path: str, end_id: int | None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turns batches ``id, text`` into ``id, ids, tokens``. A task forgets its words when it ends: a worker that
+    waits for its next task holds the tokenizer alone."""
     with open(tokenizer_path, encoding="utf-8") as f:
         file_text = f.read()
     end = b"" if end_id is None else struct.pack("<I", end_id)
-    return renamed(docs, id=id_col, text=text_col).mapInArrow(_encoder(file_text, end), TOKENS_SCHEMA)
-
 
-def _encoder(file_text: str, end: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokenizer(file_text)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                ids = [words.text(t or "") + end for t in part.column(1).to_pylist()]
-                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                made = [part.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), counts]
-                yield pa.RecordBatch.from_arrays(made, ["id", "ids", "tokens"])
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    part = batch.slice(start, 500)
+                    ids = [words.text(t or "") + end for t in part.column(1).to_pylist()]
+                    counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+                    made = [part.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), counts]
+                    yield pa.RecordBatch.from_arrays(made, ["id", "ids", "tokens"])
+        finally:
+            words.clear()
 
     return encode

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from matchloom.llm import queries
-from matchloom.llm.packing import Limits, pack
+from matchloom.llm.packing import Limits, pack, pack_documents
 from matchloom.llm.tokens import tokenized, word_tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -16,7 +16,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -49,7 +48,7 @@ def test_pieces_are_the_documents(spark, sf_dir, texts, plain):
 @pytest.mark.parametrize(
     "text",
     ["", " ", "It's we'll don't", "A.b,c..., end.", "İstanbul ΣΑΣ ς", "a\x1c\x1db \x85  x", "é é ñ",
-     "<|endoftext|> <|start", "naïve,Über. 12 x3", "\U0001f642 日本語 ﬁ", ".", ",.,", "ǅ ʰ"],
+     "<|endoftext|> <|start", "a <|endoftext|> b", "x.<|startoftext|>é <|EndOfText|>. <|endoftext|>,", "naïve,Über. 12 x3", "\U0001f642 日本語 ﬁ", ".", ",.,", "ǅ ʰ"],
 )
 def test_cached_words_give_the_tokenizers_ids(text, plain):
     with open(PATH, encoding="utf-8") as f:
@@ -115,3 +114,20 @@ def test_odd_rows(odd, empty):
     assert sum(r.length for r in rows if r.id == 4) == 1
     assert sum(r.length for r in rows if r.id == 6) == 30_002
     assert pack(tokenized(empty, PATH, 2)).collect() == []
+
+
+def test_one_worker_a_task_and_the_segment_limit(spark, odd, empty):
+    """Short texts reach the limit of segments before that of tokens; texts go through one Python function."""
+    docs = spark.range(1000).selectExpr("id AS doc_id", "'tiny text' AS text").coalesce(1)
+    pieces = pack_documents(docs, PATH, 2, Limits(4096, 64, 4096))
+    assert pieces._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    sizes = defaultdict(int)
+    for r in pieces.collect():
+        sizes[r.sequence_id] += 1
+    assert max(sizes.values()) == 64 and sum(sizes.values()) >= 1000
+    both = [
+        sorted((r.id is None, r.id or 0, r.start, r.length, r.doc_tokens) for r in rows.collect())
+        for rows in (pack_documents(odd.coalesce(1), PATH, 2), pack(tokenized(odd.coalesce(1), PATH, 2)))
+    ]
+    assert both[0] == both[1]
+    assert pack_documents(empty, PATH, 2).collect() == []
