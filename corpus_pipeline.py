@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import exact, mixing, packing, queries, simhash, tokens, toxicity
+from matchloom.llm import exact, mixing, packing, queries, simhash, toxicity
 from matchloom.llm.common import with_row
 from matchloom.session import materialise
 
@@ -41,7 +41,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    pieces = packing.pack(tokens.tokenized(docs, path, queries.END_ID), queries.SEQUENCE)
+    pieces = packing.pack_documents(docs, path, queries.END_ID, queries.SEQUENCE)
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
 
 

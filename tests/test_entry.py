@@ -1,0 +1,41 @@
+"""The entry point without the subpackage on training data."""
+
+import os
+import shutil
+import subprocess
+import sys
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+ASK = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1_') for n in e.queries()), 'pipeline' in e.queries())"
+
+
+def _copy(to, *left_out):
+    for name in ("matchloom", "workload"):
+        shutil.copytree(os.path.join(ROOT, name), to / name, ignore=shutil.ignore_patterns("__pycache__", *left_out))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if name not in left_out and os.path.exists(os.path.join(ROOT, name)):
+            shutil.copy(os.path.join(ROOT, name), to / name)
+
+
+def _asked(folder):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    return subprocess.run([sys.executable, "-B", "-c", ASK], cwd=folder, env=env, capture_output=True, text=True, timeout=120)
+
+
+def test_the_rest_imports_without_the_subpackage(tmp_path):
+    for k, left_out in enumerate([("llm",), ("llm", "corpus_pipeline.py")]):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        _copy(folder, *left_out)
+        said = _asked(folder)
+        assert said.returncode == 0, said.stderr
+        assert said.stdout.split()[1:] == ["False", "False"] and int(said.stdout.split()[0]) > 60
+
+
+def test_an_error_within_the_subpackage_is_not_hidden(tmp_path):
+    _copy(tmp_path, "llm", "corpus_pipeline.py")
+    (tmp_path / "matchloom" / "llm").mkdir()
+    (tmp_path / "matchloom" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "matchloom" / "llm" / "queries.py").write_text("import a_module_that_is_not_there\n")
+    said = _asked(tmp_path)
+    assert said.returncode != 0 and "a_module_that_is_not_there" in said.stderr
