@@ -25,6 +25,24 @@ def renamed(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns of a row as one value, so that whatever they are called none meets a name of the operator's own.
+    ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def of_row(name: str) -> Column:
+    return F.col(f"row.`{name}`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or what comes of adding underscores to it until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a key of each row in ``name``, written once, so that all who read it see the same keys."""
     return materialise(df.withColumn(name, F.monotonically_increasing_id()), "rows")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import BLANKS, renamed
+from matchloom.llm.common import BLANKS, as_row, of_row, renamed
 from matchloom.session import materialise
 
 PREFIX_CHARS = 64
@@ -101,32 +101,28 @@ def _decided(candidates: DataFrame, rest: DataFrame, overlap: bool) -> DataFrame
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns.
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns, whatever they are called.
 
-    Of rows alike in id and text one stays, the first by its other columns' hash.
+    Of rows alike in id and text one stays, the first by its other columns' hash. A null text is an empty one, and a null id
+    loses against every other; of empty texts one row stays. Empty table: no rows.
     """
-    kept = (
-        exact_groups(docs, id_col, text_col, all_digests=True)
-        .filter("kept")
-        .select(F.col("digest").alias("_digest"), F.col("id").alias("_id"), F.col("n_chars").alias("_chars"))
-    )
+    kept = exact_groups(docs, id_col, text_col, all_digests=True).filter("kept").select("digest", "id", "n_chars")
     text = F.col(f"`{text_col}`")
-    own = docs.withColumns(
-        {
-            "_own_digest": _digest(text, without_blanks),
-            "_own_chars": F.coalesce(F.length(text), F.lit(0)).cast("long"),
-            "_own_hash": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]),
-        }
+    own = docs.select(
+        as_row(docs),
+        _digest(text, without_blanks).alias("own_digest"),
+        F.coalesce(F.length(text), F.lit(0)).cast("long").alias("own_chars"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("own_hash"),
     )
     met = (
-        (F.col("_own_digest") == F.col("_digest"))
-        & (F.col("_own_chars") == F.col("_chars"))
-        & F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
+        (F.col("own_digest") == F.col("digest"))
+        & (F.col("own_chars") == F.col("n_chars"))
+        & of_row(id_col).eqNullSafe(F.col("id"))
     )
-    same = Window.partitionBy("_own_digest", "_own_chars", f"`{id_col}`").orderBy("_own_hash")
+    same = Window.partitionBy("own_digest", "own_chars", of_row(id_col)).orderBy("own_hash")
     return (
         own.join(kept, met, "left_semi")
-        .withColumn("_copy", F.row_number().over(same))
-        .filter("_copy = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .withColumn("copy", F.row_number().over(same))
+        .filter("copy = 1")
+        .select("row.*")
     )

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import BLANKS, numbered, renamed, word_count
+from matchloom.llm.common import BLANKS, as_row, numbered, of_row, renamed, word_count
 from matchloom.session import materialise
 
 ROWS_PER_BUCKET = 10_000
@@ -161,31 +161,29 @@ def curriculum(
     ``size_col`` its new length.
 
     Rows meet their copies by ``row_col``, the key that ``mix`` was given (``common.with_row`` makes one), so ids
-    may be null or repeat. Without it they meet by id, and ids that are null or repeat are an error."""
+    may be null or repeat. Without it they meet by id, and ids that are null or repeat are an error. Texts without words
+    are never taken, so null and empty texts are not in the result. Columns may be called anything. Empty table: no rows."""
     if row_col is None:
         ids = mixed.groupBy("id").agg(F.count("*").alias("n"))
         if not ids.filter(F.col("id").isNull() | (F.col("n") > 1)).isEmpty():
             raise ValueError("ids that are null or repeat need a row_col")
     key = "id" if row_col is None else "row"
     copies = mixed.select(
-        F.col(key).alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"),
-        F.posexplode("positions").alias("_epoch", "_position"),
+        F.col(key).alias("key"), F.col("size").alias("size"), F.col("taken").alias("taken"),
+        F.posexplode("positions").alias("epoch", "position"),
     )
-    words = F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size"))
-    text = F.col(f"`{text_col}`")
+    words = F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size"))
+    text = of_row(text_col)
     split = F.split(F.regexp_replace(text, "^" + BLANKS, ""), BLANKS)
-    cut = F.when(F.col("_words") < F.col("_size"), F.concat_ws(" ", F.slice(split, 1, F.col("_words").cast("int"))))
-    changed = {text_col: cut.otherwise(text)}
+    cut = F.when(F.col("words") < F.col("size"), F.concat_ws(" ", F.slice(split, 1, F.col("words").cast("int"))))
+    rows = docs.select(as_row(docs)).join(copies, of_row(row_col or id_col) == F.col("key"))
+    rows = rows.withColumn("words", words).withColumn("cut", cut.otherwise(text))
+    changed = {text_col: F.col("cut")}
     if size_col:
-        whole = F.col(f"`{size_col}`")
-        length = F.length(F.col(f"`{text_col}`")).cast("long")
-        changed[size_col] = F.when(F.col("_words") < F.col("_size"), length).otherwise(whole)
-    own = F.col(f"`{row_col or id_col}`")
-    rows = docs.join(copies, own == F.col("_key")).withColumn("_words", words)
-    for name, value in changed.items():
-        rows = rows.withColumn(name, value)
+        length = F.length("cut").cast("long")
+        changed[size_col] = F.when(F.col("words") < F.col("size"), length).otherwise(of_row(size_col))
     return (
-        rows.repartitionByRange("_position", f"`{id_col}`", "_key")
-        .sortWithinPartitions("_position", f"`{id_col}`", "_key", "_epoch")
-        .select(*[F.col(f"`{c}`") for c in docs.columns if c != row_col])
+        rows.repartitionByRange("position", of_row(id_col), "key")
+        .sortWithinPartitions("position", of_row(id_col), "key", "epoch")
+        .select(*[changed.get(c, of_row(c)).alias(c) for c in docs.columns if c != row_col])
     )

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import renamed, with_row
+from matchloom.llm.common import as_row, of_row, renamed, with_row
 from matchloom.llm.components import components
 from matchloom.session import materialise
 
@@ -225,12 +225,14 @@ def near_groups(
 def keep_one(
     docs: DataFrame, shingle: int, radius: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row of ``docs`` per component, with all its columns: the one with the least id, null last, of
-    rows alike in id the first by a hash of all columns. Rows are told apart by a key of their own, so ids may be
-    null or repeat: each component leaves exactly one row."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = with_row(docs.withColumn("_hash", F.xxhash64(*names)), "_row")
-    prints = materialise(fingerprints(keyed, shingle, id_col, text_col, hash="_hash", row="_row"), "fingerprints")
+    """One row of ``docs`` per component, with all its columns, whatever they are called: the one with the least id,
+    null last, of rows alike in id the first by a hash of all columns. Rows are told apart by a key of their own, so ids may
+    be null or repeat: each component leaves exactly one row. A null text is an empty one; all texts without words are
+    one component. Empty table: no rows."""
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash")
+    keyed = with_row(docs.select(as_row(docs), every), "key")
+    slim = keyed.select(of_row(id_col).alias("id"), of_row(text_col).alias("text"), "hash", "key")
+    prints = materialise(fingerprints(slim, shingle, "id", "text", hash="hash", row="key"), "fingerprints")
     rooted = _rooted(prints, radius, F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "row")))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return keyed.join(kept, "_row", "left_semi").select(*names)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("key"))
+    return keyed.join(kept, "key", "left_semi").select("row.*")

@@ -191,7 +191,8 @@ def held_out(id_: Column) -> Column:
 
 
 def keep_clean(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score lies below ``least``, with all their columns."""
+    """The rows of ``docs`` whose score lies below ``least``, with all their columns, whatever they are called. A null
+    text is an empty one; ids may be null or repeat; repeated rows go or stay together; an empty table gives no rows."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,3 +89,28 @@ def test_run_gives_the_last_stage(spark, sf_dir, kept):
     """Which pieces there are depends on how the rows are split over files, not which tokens."""
     whole = lambda df: sorted(tuple(r) for r in df.groupBy("doc_id").agg({"length": "sum"}).collect())
     assert whole(corpus_pipeline.run(spark, sf_dir)) == whole(kept[-1])
+
+
+CLASHING = "_row _hash _copy _key _epoch _words _own_digest row key hash copy words position size taken digest row_key Text_ id fp".split()
+
+
+def test_odd_rows_keep_their_columns(spark, sf_dir, odd):
+    """Each stage on rows with nulls, copies, a long text and columns called what operators call theirs."""
+    extra = [c for c in CLASHING if c not in odd.columns]
+    docs = odd.selectExpr("*", *[f"concat_ws(':', '{c}', doc_id, source) AS `{c}`" for c in extra])
+    was = {tuple(r) for r in docs.drop("text", "n_chars").collect()}
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, sf_dir).cache()
+        assert left.columns == docs.columns and left.dtypes == docs.dtypes, name
+        assert {tuple(r) for r in left.drop("text", "n_chars").collect()} <= was, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, left, sf_dir).collect()
+    assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in left.collect()}
+    assert {1, None, 6, 7} <= {p["doc_id"] for p in pieces}
+
+
+def test_an_empty_table_goes_through(spark, sf_dir, empty):
+    left = empty
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, left, sf_dir)
+        assert left.collect() == [], name
