@@ -2,6 +2,10 @@
 
 Toxic documents go, of equal texts and of near-equal ones one stays, the sources are mixed to their target
 weights along a curriculum, and the mix is packed. Each stage works on all that the one before kept.
+
+In every stage a null text is an empty one, ids may be null or repeat, a null source is a source, further columns stay
+whatever they are called, and an empty table gives no rows. Repeated rows are equal texts, of which one stays; texts
+without words are not mixed, so none is packed.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import exact, mixing, packing, queries, simhash, toxicity
-from matchloom.llm.common import with_row
+from matchloom.llm.common import fresh, with_row
 from matchloom.session import materialise
 
 
@@ -31,9 +35,10 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies of documents that the mix takes, in training order."""
-    rows = with_row(docs, "_row")
-    mix = mixing.mix(rows, queries.CURRICULUM, share=1.5, max_epochs=2.0, row_col="_row")
-    return mixing.curriculum(rows, mix, row_col="_row")
+    key = fresh(docs, "row_key")
+    rows = with_row(docs, key)
+    mix = mixing.mix(rows, queries.CURRICULUM, share=1.5, max_epochs=2.0, row_col=key)
+    return mixing.curriculum(rows, mix, row_col=key)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
