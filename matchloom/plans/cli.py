@@ -37,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
         job.add_argument("--csv-compat", action="store_true")
         job.add_argument("--code", default=base.code)
         job.add_argument("--id-keys", nargs="*", default=list(base.id_keys))
+        job.add_argument("--line-ids", action="store_true", default=base.line_ids)
+        job.add_argument("--lost-score", type=float, default=base.lost_score)
         job.add_argument("--fraction", type=float, default=base.fraction)
         job.add_argument("--limit", type=int, default=base.limit)
         job.add_argument("--sample-seed", default=base.sample_seed)
@@ -76,6 +78,8 @@ def config(args: argparse.Namespace) -> linkage.LinkageConfig:
         csv_compat=args.csv_compat,
         code=args.code,
         id_keys=tuple(args.id_keys),
+        line_ids=args.line_ids,
+        lost_score=args.lost_score,
         fraction=args.fraction,
         limit=args.limit,
         sample_seed=args.sample_seed,

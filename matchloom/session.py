@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +56,34 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+# The folder of the job that is running, if it has one.
+_SCOPE: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; no path is handed out twice."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, or below that of the ``scratch`` scope it is asked for in; no path is
+    handed out twice."""
+    return f"{_SCOPE.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder or file of whatever store the path names; whether it was there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, label: str = "job") -> Iterator[str]:
+    """The scratch area of one job. What is materialised inside lies in one folder, which is deleted at the end, after an
+    error too. A job's results must be written by then: frames that read the area are of no use afterwards. A scope inside
+    another one has a folder within it."""
+    path = scratch_path(spark, label)
+    token = _SCOPE.set(path)
+    try:
+        yield path
+    finally:
+        _SCOPE.reset(token)
+        delete_path(spark, path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

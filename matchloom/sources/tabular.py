@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +50,19 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
-    """The data files of a folder or glob, by name; their content is not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    return sorted(r[0] for r in found.filter(~F.element_at(F.split("path", "/"), -1).startswith("_")).collect())
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """``header, files``: the distinct first lines of the files of a folder or glob, and the files that begin with each.
+    One job reads them all; a file without a line is in none."""
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .text(path)
+        .select(
+            "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place")
+        )
+        .filter(F.col("_metadata.file_block_start") == 0)
+    )
+    firsts = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    return firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
 
 
 def read_folder(
@@ -59,17 +70,19 @@ def read_folder(
 ) -> DataFrame:
     """Unite the CSV files of a folder, whose columns may differ in number and order, by column name.
 
-    Files are grouped by their header, of which one line each is read, and every group is read as one
-    frame. Columns are text, or of the type that ``types`` names; the driver holds the file names.
+    Files are grouped by their header, which one job finds for all of them, and every group is read as one
+    frame. Columns are text, or of the type that ``types`` names; the driver holds the file names, as it does
+    wherever Spark reads files.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file in _files(spark, path):
-        header = spark.read.options(**CSV_READ).option("multiLine", multi_line).csv(file).columns
-        groups.setdefault(tuple(header), []).append(file)
     types = types or {}
     frames = []
-    for header, files in groups.items():
-        schema = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in header)
+    for line, found in sorted(map(tuple, headers(spark, path).collect())):
+        files = [unquote(f) for f in found]  # the column holds URIs
+        if multi_line and line.count('"') % 2:  # the header goes on in the next line
+            columns = spark.read.options(**CSV_READ).option("multiLine", True).csv(files[0]).columns
+        else:
+            columns = [name or f"_c{k}" for k, name in enumerate(next(csv.reader([line.lstrip("\ufeff")])))]
+        schema = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in columns)
         frames.append(read_extract(spark, files, "csv", schema, multi_line=multi_line))
     return union_by_name(frames)
 

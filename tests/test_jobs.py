@@ -9,6 +9,7 @@ from matchloom import session
 from matchloom.operators.counts import observed, stage_counts
 from matchloom.plans import cli, extracts, linkage
 from matchloom.sinks.tables import jdbc_options, replace_csv, replace_parquet, replace_table
+from matchloom.sources.lines import read_numbered_lines
 from matchloom.sources.stores import s3a_conf
 from matchloom.sources.tabular import read_extract, read_folder, union_by_name
 from workload.inputs import address_lines, table, write_lines
@@ -181,3 +182,105 @@ def test_wrong_arguments_end_the_program(argv):
     with pytest.raises(SystemExit) as stop:
         cli.parser().parse_args(argv)
     assert stop.value.code != 0
+
+
+def test_failed_writes_leave_the_old_rows(spark, tmp_path):
+    """The write breaks off after some rows: readers still find what was there, and nothing else is left behind."""
+    broken = spark.range(100).withColumn(
+        "id", F.when(F.col("id") == 99, F.raise_error(F.lit("broken")).cast("bigint")).otherwise(F.col("id"))
+    )
+    name = f"t_{uuid.uuid4().hex}"
+    replace_parquet(spark.range(5), f"{tmp_path}/p")
+    replace_csv(spark.range(5), f"{tmp_path}/c")
+    replace_table(spark.range(5), name, f"{tmp_path}/t")
+    for write in (
+        lambda: replace_parquet(broken, f"{tmp_path}/p"),
+        lambda: replace_csv(broken, f"{tmp_path}/c"),
+        lambda: replace_table(broken, name, f"{tmp_path}/t"),
+    ):
+        with pytest.raises(Exception, match="broken"):
+            write()
+    assert spark.read.parquet(f"{tmp_path}/p").count() == 5
+    assert read_extract(spark, f"{tmp_path}/c").count() == 5
+    assert spark.table(name).count() == 5
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["c", "p", "t"]
+
+
+def test_rows_may_come_from_what_they_replace(spark, tmp_path):
+    replace_parquet(spark.range(10), f"{tmp_path}/p")
+    replace_parquet(spark.read.parquet(f"{tmp_path}/p").filter("id < 4"), f"{tmp_path}/p")
+    assert spark.read.parquet(f"{tmp_path}/p").count() == 4
+
+
+def test_a_plain_table_is_replaced_and_old_versions_go(spark, tmp_path):
+    name = f"t_{uuid.uuid4().hex}"
+    spark.range(9).write.option("path", f"{tmp_path}/plain").saveAsTable(name)
+    for n in (1, 2, 3, 4):
+        replace_table(spark.range(n), name, f"{tmp_path}/t")
+        assert spark.table(name).count() == n
+    assert len(list((tmp_path / "t").iterdir())) == 2
+
+
+def test_headers_of_a_thousand_files_take_a_job_each_kind(spark, tmp_path):
+    kinds = ["a,b", "b,a", "a,b,c", '"a","b d"']
+    for k in range(1000):
+        rows = "".join(f"{k},{i},x\n"[: len(f"{k},{i},x\n") - (2 if k % 4 != 2 else 0)].rstrip("\n,") + "\n" for i in range(2))
+        (tmp_path / f"file {k:04d}.csv").write_text(kinds[k % 4] + "\n" + rows)
+    (tmp_path / "empty.csv").write_text("")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    df = read_folder(spark, str(tmp_path))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs <= 3 + len(kinds)  # Spark lists the files of each header in a job too
+    assert sorted(df.columns) == ["a", "b", "b d", "c"]
+    counted = df.agg(F.count("*"), F.count("a"), F.count("b"), F.count("c"), F.count("b d")).first()
+    assert tuple(counted) == (2000, 2000, 1500, 500, 500)
+    assert df.filter("c = 'x' AND a = '2' AND b = '1'").count() == 1
+
+
+def test_a_header_of_several_lines(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('"a\nb",c\n1,"2\n3"\n')
+    df = read_folder(spark, str(tmp_path), multi_line=True)
+    assert df.columns == ["a\nb", "c"] and [tuple(r) for r in df.collect()] == [("1", "2\n3")]
+
+
+def test_scratch_is_empty_after_the_job(spark, landing, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(shared))
+    counts = linkage.run_linkage(spark, landing, f"{tmp_path}/out", CFG)
+    assert counts["pairs"]["rows_out"] > 0 and list(shared.iterdir()) == []
+    with pytest.raises(ZeroDivisionError), session.scratch(spark):
+        session.materialise(spark.range(3), "x")
+        assert len(list(shared.iterdir())) == 1
+        1 / 0
+    assert list(shared.iterdir()) == []
+
+
+def test_ids_by_position_do_not_depend_on_the_splits(spark, tmp_path):
+    """Two files, cut into many splits, into few and read in other numbers of tasks."""
+    (tmp_path / "in").mkdir()
+    want = []
+    for name in ("b 1.txt", "a.txt"):
+        (tmp_path / "in" / name).write_text("".join("\n" if i % 10 == 3 else f"{name} {i}\n" for i in range(3000)))
+    for name in ("a.txt", "b 1.txt"):
+        want += [f"{name} {i}" if i % 10 != 3 else "" for i in range(3000)]
+    want = [(v, k) for k, v in enumerate(want) if v]
+    seen = []
+    for size in ("4k", "100m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        lines = read_numbered_lines(spark, str(tmp_path / "in"))
+        seen.append(sorted((r.line, r.value) for r in lines.collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] == sorted((k, v) for v, k in want)
+
+
+def test_the_job_without_keys_tells_records_by_their_line(spark, landing, tmp_path):
+    cfg = linkage.LinkageConfig(line_ids=True, min_score=0.9)
+    counts = linkage.run_linkage(spark, landing, f"{tmp_path}/out", cfg)
+    base = spark.read.parquet(f"{tmp_path}/out/base_a")
+    keyed = linkage.build_base_a(linkage.parse_landing(spark, landing, CFG), CFG)
+    assert dict(base.dtypes)["id"] == "bigint" and base.select("id").distinct().count() == keyed.count()
+    assert counts["base_b"]["rows_in"] == keyed.count() and spark.read.parquet(f"{tmp_path}/out/matrix").count() > 0
+    args = cli.parser().parse_args(["raw", landing, f"{tmp_path}/raw", "--line-ids"])
+    assert cli.run(spark, args) == counts["raw"]

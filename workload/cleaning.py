@@ -19,7 +19,7 @@ from matchloom.operators.projection import (
     with_extraction_time,
     with_id,
 )
-from matchloom.sources.lines import read_lines
+from matchloom.sources.lines import read_lines, read_numbered_lines
 from workload.inputs import pad, table, write_lines
 
 CUSTOMER_LAYOUT = (
@@ -166,6 +166,13 @@ def surrogate_id_monotonic(spark, sf):
     )
 
 
+def surrogate_id_position(spark, sf):
+    """Customers written as lines in several files, some of them empty lines, and told apart by where they stand."""
+    customer = table(spark, sf, "customer").orderBy("c_custkey")
+    blank = F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(F.concat_ws("|", "c_custkey", "c_name"))
+    return read_numbered_lines(spark, write_lines(customer.select(blank.alias("value")), "customers"))
+
+
 def extracted_at(spark, sf):
     """What can be said of a clock: one instant, for every row."""
     stamped = with_extraction_time(table(spark, sf, "customer").select("c_custkey"))
@@ -205,6 +212,7 @@ QUERIES = {
     "surrogate_id_hash": surrogate_id_hash,
     "surrogate_id_two_keys": surrogate_id_two_keys,
     "surrogate_id_monotonic": surrogate_id_monotonic,
+    "surrogate_id_position": surrogate_id_position,
     "extracted_at": extracted_at,
     "stage_row_counts": stage_row_counts,
 }
@@ -266,6 +274,9 @@ ORACLE = {
         FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a:b' WHEN 1 THEN 'a' END AS x,
                      CASE WHEN o_orderkey % 2 = 0 THEN 'c' WHEN o_orderkey % 5 = 0 THEN 'b:c' END AS y
               FROM orders)""",
+    "surrogate_id_position": """
+        SELECT c_custkey || '|' || c_name AS value, line
+        FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS line FROM customer) WHERE c_custkey % 7 <> 0""",
     "extracted_at": "SELECT count(*) AS n_stamped, 1 AS n_instants, true AS plausible FROM customer",
     "surrogate_id_monotonic": """
         SELECT o_orderpriority, count(*) AS n_rows, count(*) AS n_ids, true AS no_negative_id
