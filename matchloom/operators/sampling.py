@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from matchloom.functions.draws import HEX_DIGITS, hash_below, hash_hex
 
 _STEP = 4  # hex digits looked at per round: at most 65,536 buckets
-_SMALL = 100_000  # rows of the last bucket that one task may sort
 
 EVERY = "g"  # above all hashes
 
@@ -23,13 +22,14 @@ def sample_rows(df: DataFrame, fraction: float, seed: int) -> DataFrame:
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
-def kth_smallest_hash(hashes: DataFrame, k: int, column: str = "h", small: int = _SMALL) -> str:
-    """The k-th smallest hash of the frame; ``EVERY`` if it has fewer.
+def kth_smallest_hash(hashes: DataFrame, k: int, column: str = "h") -> str:
+    """An edge up to which exactly ``k`` hashes of the frame lie (more only if the k-th is there several times); ``EVERY`` if
+    it has fewer.
 
-    No row is gathered for it. A round counts rows by the next digits (a partial
-    aggregate to at most 65,536 counts) and finds the bucket holding the k-th; the
-    next round looks into this bucket only. The hashes spread evenly, so a round
-    leaves one row of 65,536, and the rest is sorted once it is small.
+    No row is gathered or sorted for it. A round counts rows by the next digits (a partial
+    aggregate to at most 65,536 counts) and finds the bucket holding the k-th; if that is not its last one, the
+    next round looks into this bucket only. The hashes spread evenly, so a round leaves one row of 65,536: one
+    round is enough for some ten thousand rows, two for some billions.
     """
     prefix, left = "", k
     while len(prefix) < HEX_DIGITS:
@@ -43,10 +43,9 @@ def kth_smallest_hash(hashes: DataFrame, k: int, column: str = "h", small: int =
         if cut is None:
             return EVERY
         prefix, left = cut["bucket"], left - (cut["seen"] - cut["n"])
-        if cut["n"] <= small:
-            last = hashes.filter(F.col(column).startswith(prefix)).select(column)
-            return last.orderBy(column).limit(left).agg(F.max(column)).first()[0]
-    return prefix
+        if left == cut["n"]:
+            break
+    return prefix.ljust(HEX_DIGITS, "f")
 
 
 def draw_edge(df: DataFrame, key: str, k: int, seed: str, rows: Column | None = None) -> str | None:
