@@ -90,9 +90,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage in a way that outlives a lost executor, and it gives
-    the planner true sizes for what follows.
+    the planner true sizes for what follows. Such tables are written once and read
+    a few times at most, so they are compressed harder than results.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
