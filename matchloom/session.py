@@ -86,14 +86,14 @@ def scratch(spark: SparkSession, label: str = "job") -> Iterator[str]:
         delete_path(spark, path)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage in a way that outlives a lost executor, and it gives
-    the planner true sizes for what follows. Such tables are written once and read
-    a few times at most, so they are compressed harder than results.
+    the planner true sizes for what follows. ``codec`` compresses otherwise than the session does.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
