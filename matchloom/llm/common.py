@@ -44,8 +44,9 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def with_row(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a key of each row in ``name``, written once, so that all who read it see the same keys."""
-    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    """``df`` with a key of each row in ``name``, written once, so that all who read it see the same keys. Whole rows
+    with their texts are written, hence compressed harder than is usual."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "rows", "zstd")
 
 
 def pieces_of(rows: int, each: int) -> int:
