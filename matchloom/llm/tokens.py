@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from matchloom.llm.common import renamed
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 TOKENS_SCHEMA = "id long, ids binary, tokens long"
 # Up to here every letter is composed and has one lower-case form, whatever stands beside it.
 _PLAIN = "ɐ"
@@ -126,5 +126,6 @@ def encoder(
                     yield pa.RecordBatch.from_arrays(made, ["id", "ids", "tokens"])
         finally:
             words.clear()
+            pa.default_memory_pool().release_unused()
 
     return encode

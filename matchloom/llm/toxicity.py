@@ -200,5 +200,6 @@ def keep_clean(docs: DataFrame, model: Model, least: float, text_col: str = "tex
         for batch in batches:
             clean = [model.score(_held(t.as_py(), place)) < least for t in batch.column(text)]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     return docs.mapInArrow(run, docs.schema)
