@@ -122,7 +122,7 @@ def _digest(phrase: bytes) -> bytes:
     return xxhash.xxh3_128_digest(phrase)
 
 
-def _fine_key(phrase: bytes) -> int:
+def fine_key(phrase: bytes) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(phrase) - (1 << 63)
@@ -140,10 +140,15 @@ def positions(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == wanted, at, -1) if len(sorted_values) else np.full(len(wanted), -1)
 
 
-def chunks_of(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """``id, text, c``: the documents dealt to chunks ``c`` by a hash of id and text."""
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return renamed(docs, text=text_col).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def chunks_of(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, total: int | None = None) -> DataFrame:
+    """``id, text, c``: the documents dealt to chunks ``c`` by a hash of id and text; ``total`` is the ``text_bytes`` of
+    all, if known."""
     rows = renamed(docs, id=id_col, text=text_col)
-    wanted = pieces_of(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, chunk_bytes)
+    wanted = pieces_of(text_bytes(docs, text_col) if total is None else total, chunk_bytes)
     chunk = F.pmod(F.xxhash64("id", "text"), F.lit(wanted)).cast("int")
     return rows.select(F.col("id").cast("long").alias("id"), "text", chunk.alias("c")).repartition("c")
 
@@ -192,7 +197,7 @@ def send_phrases(chunks: DataFrame, shared: DataFrame, windows: Windows, frequen
                 spans = ((i, i + 1) for i in range(a, b)) if fine else ((a, b),)
                 for i, j in spans:
                     phrase = symbols.cut(i, j - 1 + windows.window)
-                    mine = (_fine_key(phrase) if fine else trigger, fine, trigger, phrase)
+                    mine = (fine_key(phrase) if fine else trigger, fine, trigger, phrase)
                     if (known := seen.get(mine)) is None:
                         seen[mine] = [1, place, place]
                     else:

@@ -79,8 +79,8 @@ def repetitive(seed, letters):
 
 
 @pytest.mark.parametrize("frequent", [repeats.FREQUENT, 3])
-@pytest.mark.parametrize("chunk_bytes", [200, 1 << 20])
-def test_small_alphabets_in_any_layout(spark, frequent, chunk_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "buckets"), [(200, 8), (200, 1 << 18), (1 << 20, 50)])
+def test_small_alphabets_in_any_layout(spark, frequent, chunk_bytes, buckets):
     limits = {"frequent": frequent, "chunk_bytes": chunk_bytes}
     for seed in range(2):
         rows = [(d, " ".join(t)) for d, t in repetitive(seed, ["a", "b", "cc", "é", "longer"])]
@@ -92,7 +92,7 @@ def test_small_alphabets_in_any_layout(spark, frequent, chunk_bytes):
 
         rows = [(d, "".join(t)) for d, t in repetitive(seed + 10, "abé")]
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        got = parsing.remove_repeated(df, 20, 6, **limits).collect()
+        got = parsing.remove_repeated(df, 20, 6, **limits, bucket_keys=buckets).collect()
         want = [(d, *x) for (d, _), x in zip(rows, bytes_removed(rows, 20), strict=True)]
         found = [(r.id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got]
         assert sorted(found, key=order) == sorted(want, key=order)
@@ -106,6 +106,24 @@ def test_suffix_runs_are_in_order():
     assert len(set(run.tolist())) == len(set(suffixes))
 
 
+def test_packed_numbers_come_back():
+    for kind in ("<u4", "<i8", "u1", "<u8"):
+        for numbers in (np.arange(300).astype(kind), np.empty(0, dtype=kind), np.array([-1]).astype(kind)):
+            assert parsing._unpacked(parsing._packed(numbers), kind).tolist() == numbers.tolist()
+
+
+def test_keys_tell_triggers_apart_by_bucket():
+    values = parsing.Bytes(bytes(random.Random(1).choices(range(97, 123), k=20_000))).values
+    plain = repeats.Windows(50, 24, parsing.Bytes, per_document=True).phrases(values)
+    for bits in (0, 3, 31):
+        bounds, keys = parsing.Keyed(50, 24, parsing.Bytes, per_document=True, bits=bits).phrases(values)
+        assert (bounds == plain[0]).all() and len(set(keys.tolist())) == len(set(plain[1].tolist()))
+        found = list(parsing._buckets(np.unique(keys)))
+        assert [at.start for _, at in found[1:]] == [at.stop for _, at in found[:-1]]
+        assert all(0 <= b < 1 << bits for b, _ in found)
+        assert bits != 3 or len(found) == 8
+
+
 def test_odd_rows(odd, empty):
     for module, size in ((windows, 5), (parsing, 20)):
         rows = module.remove_repeated(odd, size, 3).collect()
