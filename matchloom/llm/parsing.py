@@ -315,17 +315,24 @@ def remove_repeated(
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def finish(doc: int | None, text: bytes, alike: tuple, known: repeats.Known) -> tuple:
+        if len(text) < length:
+            return doc, len(text), 0, 0, text
         place, symbols = repeats.order_of(doc), Bytes(text)
-        cover = np.zeros(len(text) + 1, dtype=np.int64)
-        if len(alike[0]) and len(text) >= length:
-            bounds, keys = windows.phrases(symbols.values)
+        cover = np.zeros(len(text) + 1, dtype=np.int32)
+        bounds, keys = windows.phrases(symbols.values)
+        if len(alike[0]):
             at = repeats.positions(alike[0], keys)
             gone = np.flatnonzero((at >= 0) & (alike[1][at] < place))
-            np.add.at(cover, bounds[gone], 1)
-            np.subtract.at(cover, bounds[gone + 1] - 1 + length, 1)
-        for a, b, packed in known.of(symbols):
+            cover[bounds[gone]] += 1
+            cover[bounds[gone + 1] - 1 + length] -= 1
+        for a, b, packed in known.of(symbols, (bounds, keys)):
+            if len(packed) == 8:  # one first document for all
+                if int.from_bytes(packed, "little", signed=True) < place:
+                    cover[a] += 1
+                    cover[b - 1 + length] -= 1
+                continue
             firsts = np.frombuffer(packed, dtype="<i8")
-            starts = np.flatnonzero(np.broadcast_to(firsts, b - a) < place) + a
+            starts = np.flatnonzero(firsts < place) + a
             cover[starts] += 1
             cover[starts + length] -= 1
         if not cover.any():

@@ -174,9 +174,15 @@ def sorted_triggers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return triggers[order], order
 
 
-def phrases_of(windows: Windows, symbols: Symbols, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """First window, last window + 1 and position in ``wanted`` of the phrases whose trigger is there."""
-    bounds, triggers = windows.phrases(symbols.values)
+Phrases = tuple[np.ndarray, np.ndarray]
+
+
+def phrases_of(
+    windows: Windows, symbols: Symbols, wanted: np.ndarray, phrases: Phrases | None = None
+) -> Iterator[tuple[int, int, int]]:
+    """First window, last window + 1 and position in ``wanted`` of the phrases whose trigger is there; ``phrases`` are
+    those of the text, if known."""
+    bounds, triggers = windows.phrases(symbols.values) if phrases is None else phrases
     at = positions(wanted, triggers)
     for k in np.flatnonzero(at >= 0):
         yield int(bounds[k]), int(bounds[k + 1]), int(at[k])
@@ -250,10 +256,10 @@ class Known:
         self._wanted, first = np.unique(triggers, return_index=True)
         self._fine = results.column("fine").to_numpy(zero_copy_only=False)[first]
 
-    def of(self, symbols: Symbols) -> list[tuple[int, int, bytes]]:
+    def of(self, symbols: Symbols, phrases: Phrases | None = None) -> list[tuple[int, int, bytes]]:
         """(first window, last window + 1, found) of the text's phrases of which something was found."""
         out, window = [], self._windows.window
-        for a, b, at in phrases_of(self._windows, symbols, self._wanted) if len(self._wanted) else ():
+        for a, b, at in phrases_of(self._windows, symbols, self._wanted, phrases) if len(self._wanted) else ():
             for i, j in ((i, i + 1) for i in range(a, b)) if self._fine[at] else ((a, b),):
                 result = self._found.get(_digest(symbols.cut(i, j - 1 + window)))
                 if result is not None:
