@@ -1,0 +1,132 @@
+"""Pairs written from rows that hold them as two lists."""
+
+import glob
+import os
+import threading
+
+import pyarrow.parquet as pq
+import pytest
+
+from matchloom import session
+from matchloom.operators.similarity import record_parts, similar_lists, similar_records
+from matchloom.plans import linkage
+from matchloom.sinks import products
+from matchloom.sinks.products import Part, paired, replace_products
+
+PARTS = [Part("v", "v"), Part("id_a", "x", "id"), Part("id_b", "y", "id"), Part("note", "y", "note"), Part("score", "s")]
+
+
+def _lists(spark):
+    member = "struct<id: string, note: string>"
+    rows = [
+        ("é", [("a1",), ("a2",), ("a3",)], [("b1", "n"), ("b2", None)], 0.5),
+        (None, [("a1",)], [("b1", "n"), ("b3", ""), ("b4", "n")], 1.0),
+        ("", [], [("b1", "n")], 0.75),
+        ("é", [("a4",), ("a1",)], [(None, "m")], None),
+    ]
+    schema = f"v string, x array<struct<id: string>>, y array<{member}>, s double"
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("group_rows", [1, 4, 1 << 20])
+def test_products_are_written_as_they_are_paired(spark, tmp_path, monkeypatch, group_rows):
+    monkeypatch.setattr(products, "_GROUP_ROWS", group_rows)
+    lists = _lists(spark)
+    want = paired(lists, "x", "y", PARTS)
+    slim = want.select("id_a", "id_b", "score")
+    assert want.count() == 3 * 2 + 3 + 2
+    at = {f"{tmp_path}/{name}": name for name in ("pairs", "matrix")}
+    (tmp_path / "pairs").mkdir()
+    (tmp_path / "pairs" / "old.parquet").write_text("what was there before")
+    outputs = {f"{tmp_path}/pairs": (want, PARTS), f"{tmp_path}/matrix": (slim, [p for p in PARTS if p.name in slim.columns])}
+    assert replace_products(lists, "x", "y", outputs) == 11
+    for path, df in ((f"{tmp_path}/pairs", want), (f"{tmp_path}/matrix", slim)):
+        got = spark.read.parquet(path)
+        assert got.dtypes == df.dtypes and _rows(got) == _rows(df)
+    assert sorted(os.listdir(tmp_path)) == sorted(at.values())
+    first = pq.ParquetFile(glob.glob(f"{tmp_path}/pairs/part-*")[0]).metadata.row_group(0).column(1)
+    assert first.compression == "SNAPPY" and "RLE_DICTIONARY" in first.encodings
+
+
+def test_no_products_are_an_empty_table(spark, tmp_path):
+    lists = _lists(spark).limit(0)
+    want = paired(lists, "x", "y", PARTS)
+    assert replace_products(lists, "x", "y", {f"{tmp_path}/pairs": (want, PARTS)}) == 0
+    assert spark.read.parquet(f"{tmp_path}/pairs").dtypes == want.dtypes
+
+
+def test_a_failed_write_of_products_leaves_the_old_rows(spark, tmp_path, monkeypatch):
+    spark.range(3).write.parquet(f"{tmp_path}/pairs")
+    lists = _lists(spark)
+    want = paired(lists, "x", "y", PARTS)
+    bad = [*PARTS, Part("none", "y", "no such field")]
+    with pytest.raises(Exception):  # noqa: B017
+        replace_products(lists, "x", "y", {f"{tmp_path}/matrix": (want, PARTS), f"{tmp_path}/pairs": (want, bad)})
+    assert os.listdir(tmp_path) == ["pairs"] and spark.read.parquet(f"{tmp_path}/pairs").count() == 3
+
+
+def _bases(spark, tmp_path):
+    schema = f"id string, setor string, {linkage.LINKAGE_COLUMNS[0]} string, {linkage.LINKAGE_COLUMNS[1]} string"
+    rows = [(f"r{i}", "1" if i % 3 else None, ["rua do sol", "rua da lua", None][i % 3], f"casa {i % 4}") for i in range(60)]
+    base_a = spark.createDataFrame(rows, schema)
+    base_b = base_a.selectExpr("*", "if(id > 'r3', 'kind', null) AS noise_type", "'x' AS noise_column")
+    for name, df in (("a", base_a), ("b", base_b)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    return base_a, base_b
+
+
+def test_pairs_and_matrix_are_written_in_one_pass(spark, tmp_path, monkeypatch):
+    """The wide pairs are not read again for the matrix; where Spark has to write them, the results are the same."""
+    base_a, base_b = _bases(spark, tmp_path)
+    cfg = linkage.LinkageConfig(min_score=0.9, lost_score=0.9)
+    replaced = []
+    plain = linkage.replace_parquet
+    monkeypatch.setattr(linkage, "replace_parquet", lambda df, path, *rest: (replaced.append(path), plain(df, path, *rest)))
+
+    def run(name):
+        at = [f"{tmp_path}/{x}" for x in ("a", "b", f"pairs-{name}", f"matrix-{name}")]
+        counts = linkage.bases_to_matrix(spark, *at, cfg)
+        return counts, [spark.read.parquet(path) for path in at[2:]]
+
+    counts, found = run("arrow")
+    assert replaced == []
+    monkeypatch.setattr(products, "_local", lambda df, path: None)
+    assert run("spark")[0] == counts and len(replaced) == 2
+    for mine, other in zip(found, run("again")[1], strict=True):
+        assert mine.dtypes == other.dtypes and _rows(mine) == _rows(other)
+    want = linkage.link(base_a, base_b, cfg)
+    assert _rows(found[0]) == _rows(want) and counts["rows_out"] == want.count()
+    assert _rows(found[1]) == _rows(want.select("id_a", "id_b", "score"))
+
+
+def test_lists_stand_for_the_pairs_of_records(spark, tmp_path):
+    base_a, base_b = _bases(spark, tmp_path)
+    args = ("id", linkage.LINKAGE_COLUMNS, 0.9, ["noise_type"])
+    lists = similar_lists(base_a, base_b, *args, within=["setor"]).collect()
+    assert 0 < len(lists) < sum(len(row.ma) * len(row.mb) for row in lists) == similar_records(base_a, base_b, *args, within=["setor"]).count()
+    assert [p.name for p in record_parts("id", linkage.LINKAGE_COLUMNS, ["noise_type"], ["setor"])][:2] == ["setor", "id_a"]
+
+
+def test_what_members_share_is_taken_out_before_they_are_paired(spark, tmp_path):
+    """Between the two lists' explosions lies the extraction of the left member, and below both that of the values."""
+    base_a, base_b = _bases(spark, tmp_path)
+    plan = similar_records(base_a, base_b, "id", linkage.LINKAGE_COLUMNS, 0.9)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line.strip(" :+-") for line in plan.splitlines()]
+    assert [line.split()[0] for line in lines[:4]] in (["Project", "Generate", "Project", "Generate"], ["Project", "Generate", "Generate", "Project"])
+    assert ".of" not in lines[0]
+
+
+def test_steps_run_side_by_side_in_the_scope_of_the_caller(spark):
+    met = threading.Barrier(2, timeout=60)
+
+    def step():
+        met.wait()
+        return session.scratch_path(spark, "x")
+
+    with session.scratch(spark) as scope:
+        paths = session.together(spark, step, step)
+    assert len(set(paths)) == 2 and all(path.startswith(f"{scope}/") for path in paths)
